@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, nbsvm, packing, secrets
+from lodestone.llm import langid, minhash, nbsvm, packing, secrets
 from lodestone.llm.common import fold, table
 
 
@@ -35,6 +35,10 @@ def span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op1_minhash_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_vocabulary("word_bpe_49k.json"))
@@ -63,7 +67,7 @@ def op10_secrets_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op6_quality_nbsvm, op9_language_hierarchy, op10_secrets_token_efficiency)
+    for f in (op1_minhash_weighted, op2_best_fit_packing, op6_quality_nbsvm, op9_language_hierarchy, op10_secrets_token_efficiency)
 }
 
 ORACLE_SQL: dict[str, str] = {}
