@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, minhash, nbsvm, packing, secrets
+from lodestone.llm import langid, minhash, nbsvm, packing, pii, secrets, urlfilter
 from lodestone.llm.common import fold, table
 
 
@@ -44,6 +44,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_vocabulary("word_bpe_49k.json"))
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op3_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string"))
+
+
+def op4_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_columns(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), pii.KINDS)
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id") != 0)
@@ -67,7 +80,16 @@ def op10_secrets_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_weighted, op2_best_fit_packing, op6_quality_nbsvm, op9_language_hierarchy, op10_secrets_token_efficiency)
+    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op6_quality_nbsvm, op9_language_hierarchy, op10_secrets_token_efficiency)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_digests": """
+with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+raw as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from cut),
+parts as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from raw),
+rules(rule_host, rule_path, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best as (select page_id, host, path, (select max_by(rule_host || rule_path || ' ' || verdict, length(rule_host || rule_path)) from rules where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) as found from parts)
+select page_id, host, path, split_part(found, ' ', 1) as rule, coalesce(split_part(found, ' ', 2), 'allow') as verdict from best
+""",
+}
