@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, minhash, nbsvm, packing, pii, secrets, urlfilter
+from lodestone.llm import langid, minhash, nbsvm, packing, pii, secrets, topk, urlfilter
 from lodestone.llm.common import fold, table
 
 
@@ -67,6 +67,11 @@ def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_BOUND = 0.3
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.top_k(codes, codes.where("vec_id % 50 = 0"), 10, id_col="vec_id")
+
+
 def op9_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(fold("doc_id") != 0))
@@ -80,10 +85,17 @@ def op10_secrets_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op6_quality_nbsvm, op9_language_hierarchy, op10_secrets_token_efficiency)
+    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op6_quality_nbsvm, op8_multi_index_hashing, op9_language_hierarchy, op10_secrets_token_efficiency)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_multi_index_hashing": """
+with bits as (select vec_id, list_transform(list_slice(embedding, 1, 64), lambda x: case when x > 0 then '1' else '0' end) as b from embeddings),
+codes as (select vec_id, cast(array_to_string(b, '') as bit) as code from bits),
+pairs as (select q.vec_id as query_id, r.vec_id as neighbor_id, cast(bit_count(xor(q.code, r.code)) as bigint) as distance from codes q join codes r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from pairs)
+select query_id, rank, neighbor_id, distance from ranked where rank <= 10
+""",
     "op3_url_digests": """
 with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 raw as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from cut),
