@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, minhash, nbsvm, packing, pii, secrets, topk, urlfilter
+from lodestone.llm import langid, minhash, nbsvm, packing, pii, secrets, topk, urlfilter, vectors
 from lodestone.llm.common import fold, table
 
 
@@ -44,6 +44,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_vocabulary("word_bpe_49k.json"))
 
 
+def op5_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 #: Host, path and verdict of each rule.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -85,7 +89,7 @@ def op10_secrets_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op6_quality_nbsvm, op8_multi_index_hashing, op9_language_hierarchy, op10_secrets_token_efficiency)
+    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op5_embedding_graph, op6_quality_nbsvm, op8_multi_index_hashing, op9_language_hierarchy, op10_secrets_token_efficiency)
 }
 
 ORACLE_SQL: dict[str, str] = {
