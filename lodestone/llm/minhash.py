@@ -12,10 +12,10 @@ on a grid and (r, c, b) come from a table of ROWS draws that the feature's hash
 look-up in a table of ranks by weight and row, and a sample is one 64-bit number, rank and feature hash.
 
 Candidates. BANDS bands of ROWS_A_BAND samples. Texts that are equal are one from the start. In each bucket of a band
-all members are compared with the least member. Members that are not joined with it by then are compared with the
-bucket's other members outside their component, but for those that the triangle inequality of the weighted Jaccard
-distance rules out. So every pair of different texts that shares a bucket is linked, joined by a chain of verified links,
-or shown to be no link; no bucket's pairs are listed as a whole.
+all members are compared with the least member. Members that are not joined with it by then are compared with the other
+members of its buckets outside their component, but for those that an upper bound of their similarity rules out (see
+`possible`). So every pair of different texts that shares a bucket is linked, joined by a chain of verified links, or shown
+to be no link; no bucket's pairs are listed as a whole.
 
 Verification computes the weighted Jaccard similarity of both whole texts, exactly.
 
@@ -107,16 +107,25 @@ def band_keys(features: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) ->
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two texts, each its shingles in order and their weights."""
+Weighted = tuple[np.ndarray, np.ndarray]
+
+
+def common(a: Weighted, b: Weighted) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a's shingles b has, and the shared weight of each of these."""
     (x, wx), (y, wy) = a, b
     if not len(x) or not len(y):
-        return 0.0
+        return np.zeros(len(x), bool), np.zeros(0)
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     both = y[at] == x
-    shared = float(np.minimum(wx[both], wy[at[both]]).sum())
-    return shared / (float(wx.sum()) + float(wy.sum()) - shared)
+    return both, np.minimum(wx[both], wy[at[both]])
+
+
+def similarity(a: Weighted, b: Weighted) -> float:
+    """Weighted Jaccard of two texts, each its shingles in order and their weights."""
+    shared = float(common(a, b)[1].sum())
+    total = float(a[1].sum()) + float(b[1].sum()) - shared
+    return shared / total if total else 0.0
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -159,26 +168,99 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "id long, mark1 long, mark2 long, bands array<long>")
 
 
-def verify(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b and the similarity of their texts, for pairs (a, b) of ids of docs (id, text)."""
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
+def with_texts(pairs: DataFrame, n_pairs: int, docs: DataFrame) -> DataFrame:
+    """a, b and both texts, for pairs (a, b) of ids of docs (id, text)."""
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(broadcast_if_small(needed, 2 * n_pairs, 16), "id", "left_semi")
+    joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return joined.select("a", "b", "text_a", "text_b")
+
+
+def weighted_sides(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[Weighted, Weighted]]:
+    """The weighted shingles of both texts of each row (a, b, text_a, text_b)."""
+    sides = []
+    for column in (batch.column(2), batch.column(3)):
+        coded = column.dictionary_encode()  # each text of the batch once: many pairs share their second text
+        texts, inverse = coded.dictionary, np.asarray(coded.indices)
+        weights = [(h, np.exp2(levels(h, tf, idf) / STEPS)) for _, f in text_features(texts) for h, tf in f]
+        sides.append((weights, inverse))
+    (xs, xi), (ys, yi) = sides
+    for i, j in zip(xi, yi, strict=True):
+        yield xs[i], ys[j]
+
+
+def verify(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """a, b, similarity, the weight that their texts share, and the weight of a's."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for ids, column in ((batch.column(0), batch.column(2)), (batch.column(1), batch.column(3))):
-                # Each text of the batch once: many pairs share their second text.
-                first, inverse = np.unique(np.asarray(ids), return_index=True, return_inverse=True)[1:]
-                weights = [(h, np.exp2(levels(h, tf, shared.value) / STEPS)) for _, f in text_features(column.take(pa.array(first))) for h, tf in f]
-                sides.append((weights, inverse))
-            (xs, xi), (ys, yi) = sides
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([similarity(xs[i], ys[j]) for i, j in zip(xi, yi, strict=True)], pa.float64())], ["a", "b", "similarity"])
+            rows = []
+            for x, y in weighted_sides(batch, shared.value):
+                both, own = float(common(x, y)[1].sum()), float(x[1].sum())
+                total = own + float(y[1].sum()) - both
+                rows.append((both / total if total else 0.0, both, own))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], ["a", "b", "similarity", "shared", "weight"])
 
-    joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return with_texts(pairs, n_pairs, docs).mapInArrow(run, "a long, b long, similarity double, shared double, weight double")
+
+
+def outside(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """a, b, and each shingle of a's text that b's doesn't have (b has less of), with the weight that it lacks."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, found, lacking = [], [], [], []
+            for i, (x, y) in enumerate(weighted_sides(batch, shared.value)):
+                both, weight = common(x, y)
+                rest = x[1].copy()
+                rest[both] -= weight
+                where = np.flatnonzero(rest > 0)
+                found.append(x[0][where].astype(np.int64))
+                lacking.append(rest[where])
+                a.append(np.full(len(where), i))
+            if not a:
+                continue
+            at = pa.array(np.concatenate(a))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found)), pa.array(np.concatenate(lacking))], ["a", "b", "shingle", "weight"])
+
+    return with_texts(pairs, n_pairs, docs).mapInArrow(run, "a long, b long, shingle long, weight double")
+
+
+def possible(placed: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float, stages: Stages) -> DataFrame:
+    """Pairs that may link although neither's link to their buckets' least member b joins them.
+
+    placed: a, b, similarity, shared, weight, and the components of_a and of_b. What x and y share is at most
+    min(shared with b) + min(o(x), o(y)), where o is the weight that a text has beyond b's and that at least one other
+    member of b's buckets has beyond b's too. That bounds each text's similarity with any other and each pair's; where
+    copies were changed each in its own places, no pair is left.
+    """
+    groups = placed.groupBy("b").agg(F.count("*").alias("n"), F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("apart"))
+    groups = groups.where("n > 1 and apart = 1").select("b")
+    members = stages.write(placed.join(groups, "b", "left_semi"), "open")
+    n_members = members.count()
+    beyond = stages.write(outside(members.select("a", "b"), n_members, docs, idf), "beyond")
+    twice = beyond.groupBy("b", "shingle").agg(F.count("*").alias("n")).where("n > 1").select("b", "shingle")
+    also = beyond.join(twice, ["b", "shingle"]).groupBy("a", "b").agg(F.sum("weight").alias("beyond"))
+    members = members.join(also, ["a", "b"], "left").withColumn("beyond", F.coalesce("beyond", F.lit(0.0)))
+    t, slack = threshold, 1e-6
+    alive = members.withColumn("most", (F.col("shared") + F.col("beyond")) * (1 + slack)).where(F.col("most") >= t * F.col("weight"))
+    alive = stages.write(alive, "alive")
+
+    def cell(weight):
+        return F.floor(F.log(weight) / F.log(F.lit(1.02)))
+
+    x = alive.where("of_a != of_b").select("b", *(F.col(c).alias(f"x_{c}") for c in ("a", "of_a", "shared", "weight", "beyond")), "most")
+    heaviest = F.least(F.col("x_weight") / t, (1 + 1 / t) * F.col("most") - F.col("x_weight")) * (1 + slack)
+    low, high = cell(F.col("x_weight") * t * (1 - slack)), cell(heaviest)
+    x = x.where(heaviest > 0).where(high >= low).withColumn("cell", F.explode(F.sequence(low, high))).drop("most")
+    y = alive.select("b", *(F.col(c).alias(f"y_{c}") for c in ("a", "of_a", "shared", "weight", "beyond")), cell(F.col("weight")).alias("cell"))
+    most = (F.least("x_shared", "y_shared") + F.least("x_beyond", "y_beyond")) * (1 + slack)
+    near = most >= t * (F.col("x_weight") + F.col("y_weight") - most)
+    pairs = x.join(y, (x["b"] == y["b"]) & (x["cell"] == y["cell"]) & (F.col("x_of_a") != F.col("y_of_a")) & near)
+    return pairs.select(F.greatest("x_a", "y_a").alias("a"), F.least("x_a", "y_a").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -200,24 +282,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = connected_components(links, stages, "first")
     first = stages.write(first, "components")
 
-    # Members that are still apart from their bucket's least member meet the rest of the bucket.
+    # Members that are still apart from their buckets' least member may link with one another.
     def component(df: DataFrame, column: str) -> DataFrame:
         named = first.select(F.col("id").alias(column), F.col("component").alias(f"of_{column}"))
         return df.join(named, column, "left").withColumn(f"of_{column}", F.coalesce(f"of_{column}", column))
 
-    known = scored.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    placed = component(component(members.join(known, ["a", "b"]), "a"), "b")
-    apart = placed.where("of_a != of_b").select("bucket", F.col("a").alias("x"), F.col("of_a").alias("of_x"), F.col("similarity").alias("sx"))
-    others = placed.select("bucket", F.col("a").alias("y"), F.col("of_a").alias("of_y"), F.col("similarity").alias("sy"))
-    gap = 1 - threshold + 1e-9
-    rest = apart.join(others, "bucket").where((F.col("of_x") != F.col("of_y")) & (F.abs(F.col("sx") - F.col("sy")) <= gap))
-    rest = stages.write(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "rest")
+    known = scored.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("similarity", "shared", "weight")))
+    placed = stages.write(component(component(known, "a"), "b"), "placed")
+    rest = stages.write(possible(placed, docs, idf, threshold, stages), "rest")
     if more := rest.count():
         further = stages.write(verify(rest, more, docs, idf), "further").where(F.col("similarity") >= threshold).select("a", "b")
         links = links.unionByName(further)
         first = stages.write(connected_components(links, stages, "second"), "components2")
 
-    stages.drop("members", "stars", "scored", "rest", "further")
+    stages.drop("members", "stars", "scored", "placed", "open", "beyond", "alive", "rest", "further")
     repeated = groups.where("copies > 1").select("mark1", "mark2", "rep")
     rows = sketched.select("id", "mark1", "mark2").join(repeated, ["mark1", "mark2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classes = rows.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
