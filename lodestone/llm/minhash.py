@@ -1,7 +1,7 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Weights. A document's features are its distinct shingles of five words (lower case). A shingle's weight is
-(1 + ln tf) * (idf / ln 2)^IDF_POWER with idf = ln(1 + N / (1 + df)), rounded to a grid of eight steps an octave. df
+(1 + ln tf) * (idf / ln 2)^IDF_POWER with idf = ln(1 + N / (1 + df)), rounded to a grid of STEPS steps an octave. df
 counts the documents, over the whole table, with a shingle of the same BUCKETS-fold hash: a table of fixed size, which
 tells apart what more than about one document in BUCKETS / (shingles a document) holds, at every size of the corpus. The
 power damps the idf: without it the few words in which members of a large group differ would outweigh all they share.
@@ -45,10 +45,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BUCKETS = 1 << 18
 _BUCKET_SHIFT = np.uint64(64 - 18)
-IDF_POWER = 0.25
+IDF_POWER = 0.1
 BANDS, ROWS_A_BAND = 16, 4
 ROWS = 1 << 15
-STEPS = 8  # of weight an octave
+STEPS = 16  # of weight an octave
 LEVELS = 64
 
 
