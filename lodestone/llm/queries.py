@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, minhash, nbsvm, packing, pii, secrets, topk, urlfilter, vectors
+from lodestone.llm import langid, minhash, mixing, nbsvm, packing, pii, secrets, topk, urlfilter, vectors
 from lodestone.llm.common import fold, table
 
 
@@ -71,6 +71,20 @@ def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_BOUND = 0.3
 
 
+#: Domains of the labelled table, and the shares of all tokens that they are to have.
+MIX_TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op7_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, domain_labels(table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = table(spark, sf_dir, "embeddings").select("vec_id", topk.sign_code(F.col("embedding")).alias("code"))
     return topk.top_k(codes, codes.where("vec_id % 50 = 0"), 10, id_col="vec_id")
@@ -89,7 +103,7 @@ def op10_secrets_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op5_embedding_graph, op6_quality_nbsvm, op8_multi_index_hashing, op9_language_hierarchy, op10_secrets_token_efficiency)
+    for f in (op1_minhash_weighted, op2_best_fit_packing, op3_url_digests, op4_pii_boosted, op5_embedding_graph, op6_quality_nbsvm, op7_soft_membership_mixing, op8_multi_index_hashing, op9_language_hierarchy, op10_secrets_token_efficiency)
 }
 
 ORACLE_SQL: dict[str, str] = {
