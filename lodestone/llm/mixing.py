@@ -16,7 +16,7 @@ of it is DataFrame operations; the driver gets the terms' weights and, each step
 
 A document is taken floor(rate) times, and once more if a hash of its id falls under the rest.
 
-Defined results: null and empty texts have no tokens and the prior as posterior; rows with a null id are left out;
+Defined results: null and empty texts have no tokens and the posterior of texts without any chosen term; rows with a null id are left out;
 repeated rows each get their row; a document with several labels counts for the least domain by name; without labelled
 documents all posteriors are even; a domain that no document belongs to can't be matched and leaves the others as near as
 least squares gets.
@@ -34,23 +34,29 @@ from lodestone.llm.common import Stages, broadcast_if_small
 #: Labelled documents that the classifier is fitted to, at most: those with the least hash of their id.
 SAMPLE = 6000
 TERMS = 400
+#: A term tells of a domain if its count there is so many squared deviations from the expected; counts are shrunk so far.
+SURPRISE, SHRINK = 10.0, 5.0
+#: The absence of all terms of a domain counts for so much at most.
+ABSENT = -3.5
+#: What stands between words.
+BREAKS = r"""[\s.,;:!?"()]+"""
 STEPS, RIDGE = 60, 1e-3
 TOLERANCE = 1e-4
 
 
 def with_terms(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """id, tokens and the distinct terms of each document, with more columns."""
-    split = F.split(F.trim(F.lower(F.coalesce(docs[text_col], F.lit("")))), r"\s+")
+    split = F.array_remove(F.split(F.lower(F.coalesce(docs[text_col], F.lit(""))), BREAKS), "")
     words = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), split.alias("words"), *more)
     rest = [c for c in words.columns if c not in ("id", "words")]
     words = words.select("id", "words", F.array_distinct("words").alias("distinct"), *rest)
-    count = F.when(F.element_at("words", 1) == "", F.lit(0)).otherwise(F.size("words")).cast("long")
+    count = F.size("words").cast("long")
     variety = F.concat(F.lit("#variety="), F.floor(10 * F.size("distinct") / F.size("words")).cast("string"))
     return words.select("id", count.alias("tokens"), F.when(count > 0, F.concat("distinct", F.array(variety))).otherwise(F.array().cast("array<string>")).alias("terms"), *rest)
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str, text_col: str, sample: int, n_terms: int) -> tuple[list[float], list[tuple[str, list[float]]]]:
-    """Log priors of the domains, and of each chosen term the log probabilities in them. labelled: id_col and domain."""
+    """Log odds of the domains for a text without any chosen term, and what each chosen term adds to them. labelled: id_col and domain."""
     key = docs.schema[id_col].dataType
     chosen = (
         labelled.select(labelled[id_col].cast(key).alias("id"), labelled["domain"].alias("domain"))
@@ -59,36 +65,50 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_c
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     rows = with_terms(docs, id_col, text_col).join(F.broadcast(chosen), "id")
-    size = {d: F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"n{k}") for k, d in enumerate(domains)}
-    total = rows.agg(*size.values()).first()
-    n = [total[k] or 0.0 for k in range(len(domains))]
-    counts = rows.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(*size.values())
-    rate = [(F.col(f"n{k}") + 0.5) / (n[k] + 1.0) for k in range(len(domains))]
-    everywhere = (sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0.0)) + 0.5) / (sum(n) + 1.0)
-    # How much the term tells: the log ratios weighted by where it stands, domains of any size alike.
-    gain = sum((r * F.abs(F.log(r / everywhere)) for r in rate), F.lit(0.0))
-    best = counts.where(" + ".join(f"n{k}" for k in range(len(domains))) + " >= 5").orderBy(gain.desc(), "term").limit(n_terms)
-    found = best.select("term", F.array(*(F.log(r) for r in rate)).alias("weights")).collect()
+    size = [F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"n{k}") for k, d in enumerate(domains)]
+    mass = [F.sum(F.when(F.col("domain") == d, F.size("terms"))).cast("double").alias(f"m{k}") for k, d in enumerate(domains)]
+    total = rows.agg(*size, *mass).first()
+    n, m = ([total[f"{x}{k}"] or 0.0 for k in range(len(domains))] for x in "nm")
+    counts = rows.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(*size)
+    # Against the share of all terms, not of documents: else the domain of the longer texts would get every long text.
+    everywhere = sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0.0)) / max(sum(m), 1.0)
+    expected = [everywhere * m[k] for k in range(len(domains))]
+    # Only what a domain has more of: what it has less of goes with the language and length of a text.
+    surprise = [F.when(F.col(f"n{k}") > expected[k], (F.col(f"n{k}") - expected[k]) ** 2 / (expected[k] + SHRINK)).otherwise(0.0) for k in range(len(domains))]
+    most = F.greatest(*surprise) if len(surprise) > 1 else surprise[0]
+    best = counts.where(most >= SURPRISE).orderBy(most.desc(), "term").limit(n_terms)
+    found = best.select("term", *(F.col(f"n{k}") for k in range(len(domains))), *(z.alias(f"z{k}") for k, z in enumerate(surprise))).collect()
     prior = [math.log((x + 1.0) / (sum(n) + len(n))) for x in n]
-    return prior, [(r["term"], list(r["weights"])) for r in found]
-
-
-def posteriors(docs: DataFrame, prior: list[float], weights: list[tuple[str, list[float]]], *, id_col: str, text_col: str) -> DataFrame:
-    """id, tokens, and the posterior over the domains in hundredths, p0, p1, ..."""
+    weights, absent = [], [0.0] * len(domains)
+    for r in found:
+        common = sum(r[f"n{k}"] for k in range(len(domains))) / max(sum(n), 1.0)
+        share = [(r[f"n{k}"] + SHRINK * common) / (n[k] + SHRINK) if r[f"z{k}"] >= SURPRISE else common for k in range(len(domains))]
+        share = [min(max(x, 1e-4), 1 - 1e-4) for x in share]
+        # What the term's absence says goes into the start, what its presence adds to that is its weight.
+        absent = [p + math.log(1 - x) for p, x in zip(absent, share, strict=True)]
+        weights.append((r["term"], [math.log(x / (1 - x)) for x in share]))
+    # Many terms that go together are not so many proofs of absence.
+    top = max(absent)
+    return [p + max(x - top, ABSENT) for p, x in zip(prior, absent, strict=True)], weights
+
+
+def posteriors(docs: DataFrame, prior: list[float], weights: list[tuple[str, list[float]]], *, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """id, tokens, the posterior over the domains in hundredths, p0, p1, ..., and columns to keep under keep_<name>."""
+    held = [f"keep_{c}" for c in keep]
     start = F.array(*(F.lit(float(p)) for p in prior))
-    known = with_terms(docs, id_col, text_col)
+    known = with_terms(docs, id_col, text_col, *(docs[c].alias(f"keep_{c}") for c in keep))
     if weights:
         listed = F.array(*(F.lit(t) for t, _ in weights))
         of = F.map_from_arrays(listed, F.array(*(F.array(*(F.lit(float(x)) for x in w)) for _, w in weights)))
-        found = F.transform(F.array_intersect("terms", listed), lambda t: F.element_at(of, t))
-        logs = F.aggregate(found, start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
+        known = known.withColumn("terms", F.array_intersect("terms", listed))
+        logs = F.aggregate(F.transform("terms", lambda t: F.element_at(of, t)), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
     else:
         logs = start
-    known = known.select("id", "tokens", logs.alias("logs"))
-    known = known.select("id", "tokens", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("odds"))
+    known = known.select("id", "tokens", logs.alias("logs"), *held)
+    known = known.select("id", "tokens", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("odds"), *held)
     total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     # The last takes what rounding leaves, so that the hundredths add up to one.
-    known = known.select("id", "tokens", *(F.round(F.element_at("odds", k + 1) / total, 2).alias(f"p{k}") for k in range(len(prior) - 1)))
+    known = known.select("id", "tokens", *(F.round(F.element_at("odds", k + 1) / total, 2).alias(f"p{k}") for k in range(len(prior) - 1)), *held)
     others = sum((F.col(f"p{k}") for k in range(len(prior) - 1)), F.lit(0.0))
     return known.select("*", F.greatest(F.lit(0.0), F.round(F.lit(1.0) - others, 2)).alias(f"p{len(prior) - 1}"))
 
@@ -113,8 +133,8 @@ def fit_rates(cells: DataFrame, n: int, targets: list[float], *, steps: int = ST
     return now
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_terms: int = TERMS) -> DataFrame:
-    """One row per document with an id: id_col, tokens, p_<domain> for each domain, rate, and copies: how often it is taken.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_terms: int = TERMS, keep: list[str] | None = None) -> DataFrame:
+    """One row per document with an id: id_col, tokens, p_<domain> for each domain, rate, copies (how often it is taken) and keep.
 
     labelled: id_col and domain; targets: the share of all tokens that each domain is to have.
     """
@@ -123,10 +143,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_c
     whole = sum(targets.values())
     prior, weights = classifier(docs, labelled, domains, id_col=id_col, text_col=text_col, sample=sample, n_terms=n_terms)
     names = [f"p{k}" for k in range(len(domains))]
-    members = stages.write(posteriors(docs, prior, weights, id_col=id_col, text_col=text_col), "members")
+    members = stages.write(posteriors(docs, prior, weights, id_col=id_col, text_col=text_col, keep=keep or []), "members")
     cells = stages.write(members.groupBy(*names).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
     rates = stages.write(fit_rates(cells, len(domains), [targets[d] / whole for d in domains]).select(*names, "rate"), "rates")
     taken = members.join(broadcast_if_small(rates, rates.count(), 16 * (len(domains) + 1)), names)
     draw = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
-    return taken.select(F.col("id").alias(id_col), "tokens", *(F.col(p).alias(f"p_{d}") for p, d in zip(names, domains, strict=True)), "rate", copies.cast("int").alias("copies"))
+    return taken.select(F.col("id").alias(id_col), "tokens", *(F.col(p).alias(f"p_{d}") for p, d in zip(names, domains, strict=True)), "rate", copies.cast("int").alias("copies"), *(F.col(f"keep_{c}").alias(c) for c in keep or []))

@@ -99,15 +99,17 @@ def suspicious(texts: pa.Array) -> np.ndarray:
     return hit | np.asarray(pc.match_substring_regex(pc.fill_null(texts, ""), ASSIGN_WORDS))
 
 
-def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", ratio: float = 2.0, redact: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", ratio: float = 2.0, redact: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per document: id and spans, an array of (kind, start, end) in code points, by start then kind.
 
-    With redact, a column text too, in which that string replaces each span (overlapping ones together). vocabulary is
-    the path of a tiktoken file of ranks on every executor.
+    With redact, a column text too, in which that string replaces each span (overlapping ones together). Columns in keep
+    come along as they are. vocabulary is the path of a tiktoken file of ranks on every executor.
     """
+    kept = [docs.schema[c] for c in keep or []]
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>" + (", text string" if redact is not None else "")
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +126,10 @@ def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
                 mask = np.zeros(len(texts), bool)
                 mask[list(changed)] = True
                 out.append(pc.replace_with_mask(texts, pa.array(mask), pa.array(list(changed.values()), texts.type)))
-            yield pa.RecordBatch.from_arrays(out, ["id", "spans", "text"][: len(out)])
+            names = ["id", "spans", "text"][: len(out)] + [f.name for f in kept]
+            yield pa.RecordBatch.from_arrays(out + batch.columns[2:], names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[f.name] for f in kept)).mapInArrow(run, schema)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
