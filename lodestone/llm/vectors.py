@@ -3,13 +3,14 @@
 Only vectors of one label and length are compared. Equal vectors are one from the start, under their least id.
 
 Shards. A label with more than SHARD vectors is split by pivots, a hash sample of its own vectors, each vector going to
-the two nearest; parts that are still too large are split again. A shard fits one task.
+the two nearest; parts that are still too large are split again. Pivots are APART from one another, so that a dense group has
+one and stays together, unless all of a part is one dense group. A shard fits one task.
 
 Graph. Within a shard each vector's nearest ones and a few random ones are pruned robustly: a candidate is dropped if a
 chosen neighbour is ALPHA times nearer to it than the vector is. Links get their reverse, and what the medoid can't reach
 gets a link from the nearest vector that it can. A vector's lists from all its shards are united.
 
-Search. Each vector is sought from the shard's medoid: a beam of the nearest vectors seen is expanded until all are, then
+Search. Each vector is sought from the shard's medoid and ENTRIES more spread over it: a beam of the nearest vectors seen is expanded until all are, then
 all vectors seen within range, until no new one appears. Links found are verified in double precision. Each shard audits a
 sample of its queries against brute force and doubles the beam until the recall reaches AUDIT. A link in two shards counts
 in the lesser one alone; to the components each shard gives a spanning forest of its links, so no list of links leaves it.
@@ -32,9 +33,9 @@ from lodestone.llm.components import connected_components
 from lodestone.session import ship
 
 COSINE = 0.93
-SHARD, PIVOTS = 4096, 48
+SHARD, PIVOTS, APART = 2048, 48, 0.75
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 16, 1.2
-BEAM, AUDIT = 32, 0.98
+BEAM, AUDIT, ENTRIES, AT_A_TIME = 32, 0.98, 32, 8
 _BLOCK = 128
 
 
@@ -76,8 +77,7 @@ def build(x: np.ndarray, seed: int = 5) -> list[set[int]]:
             links[a + i] = set(prune(x, a + i, seen))
     for i in range(n):
         for j in list(links[i]):
-            if len(links[j]) < 2 * DEGREE:
-                links[j].add(i)
+            links[j].add(i)  # without a bound but the shard's: the members of a dense group hang on its middle
     reach(x, links)
     return links
 
@@ -108,7 +108,8 @@ def reach(x: np.ndarray, links: list[set[int]]) -> None:
 
 class Graph:
     def __init__(self, x: np.ndarray, links: list[set[int]]):
-        self.x, self.start = x, medoid(x)
+        self.x = x
+        self.start = np.unique(np.append(np.random.default_rng(17).permutation(len(x))[:ENTRIES], medoid(x)))
         self.size = np.array([len(s) for s in links], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.array([j for s in links for j in sorted(s)], np.int64)
@@ -132,12 +133,12 @@ class Graph:
             asked = self.x[block]
             sims = np.full((len(block), n), -np.inf, np.float32)
             done = np.zeros((len(block), n), bool)
-            sims[:, self.start] = asked @ self.x[self.start]
+            sims[:, self.start] = asked @ self.x[self.start].T
             while True:
                 top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
                 value = np.take_along_axis(sims, top, 1)
                 value[np.take_along_axis(done, top, 1)] = -np.inf
-                best = np.argpartition(-value, min(3, beam - 1), axis=1)[:, :4]
+                best = np.argpartition(-value, min(AT_A_TIME, beam) - 1, axis=1)[:, :AT_A_TIME]
                 open_ = np.take_along_axis(value, best, 1) > -np.inf
                 if not open_.any():
                     break
@@ -195,6 +196,16 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def spread(centers: np.ndarray) -> np.ndarray:
+    """The pivots that are no nearer than APART to one before; all of them if less than three are."""
+    sims = centers @ centers.T
+    chosen: list[int] = []
+    for i in range(len(centers)):
+        if not chosen or sims[i, chosen].max() < APART:
+            chosen.append(i)
+    return centers[chosen] if len(chosen) > 2 else centers
+
+
 def split(points: DataFrame, stages: Stages) -> DataFrame:
     """points (rep, vector, path) with one row for each shard that a vector is in; a shard has at most SHARD rows."""
     turn = 0
@@ -218,7 +229,7 @@ def split(points: DataFrame, stages: Stages) -> DataFrame:
                     continue
                 out = []
                 for path, part in frame.groupby("path", sort=False):
-                    centers = unit(np.stack(part["centers"].iloc[0]))
+                    centers = spread(unit(np.stack(part["centers"].iloc[0])))
                     x = unit(np.stack(part["vector"].to_numpy()))
                     # Ties, as of vectors in one direction, are broken by the id, or a part would not shrink.
                     dice = (part["rep"].to_numpy().astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(centers), dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
