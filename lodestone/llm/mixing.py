@@ -55,7 +55,7 @@ def with_terms(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Da
     return words.select("id", count.alias("tokens"), F.when(count > 0, F.concat("distinct", F.array(variety))).otherwise(F.array().cast("array<string>")).alias("terms"), *rest)
 
 
-def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str, text_col: str, sample: int, n_terms: int) -> tuple[list[float], list[tuple[str, list[float]]]]:
+def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], stages: Stages, *, id_col: str, text_col: str, sample: int, n_terms: int) -> tuple[list[float], list[tuple[str, list[float]]]]:
     """Log odds of the domains for a text without any chosen term, and what each chosen term adds to them. labelled: id_col and domain."""
     key = docs.schema[id_col].dataType
     chosen = (
@@ -64,7 +64,9 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_c
         .groupBy("id").agg(F.min("domain").alias("domain"))
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
-    rows = with_terms(docs, id_col, text_col).join(F.broadcast(chosen), "id")
+    # The sample is taken before its texts are split, and its terms are written: they are read more than once.
+    sampled = docs.join(F.broadcast(chosen.withColumnRenamed("id", id_col)), id_col)
+    rows = stages.write(with_terms(sampled, id_col, text_col, F.col("domain")), "sample")
     size = [F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"n{k}") for k, d in enumerate(domains)]
     mass = [F.sum(F.when(F.col("domain") == d, F.size("terms"))).cast("double").alias(f"m{k}") for k, d in enumerate(domains)]
     total = rows.agg(*size, *mass).first()
@@ -141,7 +143,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_c
     stages = Stages(docs.sparkSession)
     domains = sorted(targets)
     whole = sum(targets.values())
-    prior, weights = classifier(docs, labelled, domains, id_col=id_col, text_col=text_col, sample=sample, n_terms=n_terms)
+    prior, weights = classifier(docs.select(id_col, text_col), labelled, domains, stages, id_col=id_col, text_col=text_col, sample=sample, n_terms=n_terms)
     names = [f"p{k}" for k in range(len(domains))]
     members = stages.write(posteriors(docs, prior, weights, id_col=id_col, text_col=text_col, keep=keep or []), "members")
     cells = stages.write(members.groupBy(*names).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
