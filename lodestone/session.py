@@ -26,6 +26,9 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.join("lodestone", os.path.relpath(full, root)))
         context.addPyFile(target)
+        # Batches to Python workers are bounded in bytes and rows: some texts are long.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
         _shipped.add(context.applicationId)
     return spark
 
