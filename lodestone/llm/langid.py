@@ -179,7 +179,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["id", "lang", "indices", "shares"])
 
     key = rows.schema["id"].dataType.simpleString()
-    got = picked.mapInArrow(run, f"id {key}, lang string, indices binary, shares binary").toPandas().sort_values(["lang", "id", "indices"])
+    got = picked.mapInArrow(textkit.tidy(run), f"id {key}, lang string, indices binary, shares binary").toPandas().sort_values(["lang", "id", "indices"])
     return fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v)) for i, v in zip(got["indices"], got["shares"], strict=True)], list(got["lang"]))
 
 
@@ -193,5 +193,5 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, lang_pred string, score double")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(textkit.tidy(run), f"id {key}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

@@ -144,7 +144,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         where = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(count[where])], ["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(textkit.tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return df[:BUCKETS], int(df[BUCKETS])
@@ -165,7 +165,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *half, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "mark1", "mark2", "bands"])
 
-    return docs.mapInArrow(run, "id long, mark1 long, mark2 long, bands array<long>")
+    return docs.mapInArrow(textkit.tidy(run), "id long, mark1 long, mark2 long, bands array<long>")
 
 
 def with_texts(pairs: DataFrame, n_pairs: int, docs: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def verify(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf: np.ndarray) ->
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], ["a", "b", "similarity", "shared", "weight"])
 
-    return with_texts(pairs, n_pairs, docs).mapInArrow(run, "a long, b long, similarity double, shared double, weight double")
+    return with_texts(pairs, n_pairs, docs).mapInArrow(textkit.tidy(run), "a long, b long, similarity double, shared double, weight double")
 
 
 def outside(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -226,7 +226,7 @@ def outside(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf: np.ndarray) ->
             at = pa.array(np.concatenate(a))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found)), pa.array(np.concatenate(lacking))], ["a", "b", "shingle", "weight"])
 
-    return with_texts(pairs, n_pairs, docs).mapInArrow(run, "a long, b long, shingle long, weight double")
+    return with_texts(pairs, n_pairs, docs).mapInArrow(textkit.tidy(run), "a long, b long, shingle long, weight double")
 
 
 def possible(placed: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float, stages: Stages) -> DataFrame:

@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "label", "found"])
 
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
-    got = picked.select("id", "text", "label").mapInArrow(run, f"id {key}, label int, found binary").toPandas()
+    got = picked.select("id", "text", "label").mapInArrow(textkit.tidy(run), f"id {key}, label int, found binary").toPandas()
     got = got.assign(size=got["found"].map(len)).sort_values(["id", "size"]).drop_duplicates("id")
     return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["found"]], got["label"].to_numpy(), cost=cost)
 
@@ -142,5 +142,5 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     slim = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(kept)), docs[text_col].alias("text"))
     types = ", ".join(f"c{i} {slim.schema[i].dataType.simpleString()}" for i in range(len(kept)))
-    out = slim.mapInArrow(run, f"{types}, score double")
+    out = slim.mapInArrow(textkit.tidy(run), f"{types}, score double")
     return out.select(*(out[f"c{i}"].alias(c) for i, c in enumerate(kept)), "score")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import textkit
 from lodestone.llm.common import Stages, broadcast_if_small
 from lodestone.session import ship
 
@@ -38,7 +39,7 @@ END_ID = 1
 #: Pieces of one length that are ranked in one task, about.
 CELL = 1000
 #: Words whose ids a worker keeps; at this many it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Texts of these characters only are the same for the tokenizer word by word and in lower case: no combining marks, no
 #: white space that Python and the tokenizer's patterns see differently, no capital that folds to more than one character.
@@ -157,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * with_ids, names)
 
     schema = f"id {key}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(textkit.tidy(run), schema)
 
 
 #: Runs of equal lengths in a sequence, first to last, and how many sequences are so filled.

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestone.llm import boosting
+from lodestone.llm import boosting, textkit
 from lodestone.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -245,4 +245,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(SPAN))], ["id", "spans"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(textkit.tidy(run), f"id {key}, spans array<struct<kind:string,start:bigint,end:bigint>>")

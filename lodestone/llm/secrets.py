@@ -129,7 +129,7 @@ def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
             names = ["id", "spans", "text"][: len(out)] + [f.name for f in kept]
             yield pa.RecordBatch.from_arrays(out + batch.columns[2:], names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[f.name] for f in kept)).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[f.name] for f in kept)).mapInArrow(textkit.tidy(run), schema)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
