@@ -124,7 +124,7 @@ class PathFilter:
         for rule, patterns in (("exclude", [*BUILT_IN, *self.exclude]), ("scipExclude", self.scip_exclude), ("treeSitterExclude", self.tree_sitter_exclude)):
             names = F.split(p, "/")
             above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i * 0 + 1, i), "/"))
-            first = F.element_at(F.filter(above, lambda d: self.matches(d, patterns) | self.matches(F.concat(d, F.lit("/")), patterns)), 1) if patterns else F.lit(None)
+            first = F.get(F.filter(above, lambda d: self.matches(d, patterns) | self.matches(F.concat(d, F.lit("/")), patterns)), 0) if patterns else F.lit(None)
             shown = F.when(first == p, p).otherwise(F.concat(first, F.lit("/")))
             out.append(paths.select(F.lit(rule).alias("rule"), shown.alias("path")).where("path is not null").distinct())
         return reduce(DataFrame.unionByName, out)

@@ -48,7 +48,7 @@ def strictly_non_synthetic(id: str = "id", name: str = "name", qualified: str =
 
 def module_of(path: Column | str) -> Column:
     """First segment of a path, or (root)."""
-    p = F.trim(F.lit("/"), col(path))
+    p = F.trim(col(path), F.lit("/"))
     return F.when(p.contains("/"), F.substring_index(p, "/", 1)).otherwise("(root)")
 
 
@@ -68,7 +68,7 @@ def extension_of(path: Column | str) -> Column:
 
 def clean_path(path: Column | str) -> Column:
     """Trimmed, without leading ./ or /, without empty and . segments; a final slash stays."""
-    p = F.regexp_replace(F.trim(col(path)), r"/(\./)+|/{2,}", "/")
+    p = F.regexp_replace(F.trim(col(path)), r"/(?:\.?/)+", "/")
     return F.regexp_replace(p, r"^(\./|/)+", "")
 
 
