@@ -58,7 +58,7 @@ def segment_regex(glob: str) -> str | None:
 
 
 def glob_regex(pattern: str) -> str | None:
-    """A regular expression that a whole path matches if the glob does; None if nothing can.
+    """A regular expression that a path with a / behind it matches if the glob does; None if nothing can.
 
     ** stands for any number of segments; a pattern that ends with / takes all below it; one without wildcards is a path or
     a directory; a wildcard pattern without / matches any segment.
@@ -69,26 +69,16 @@ def glob_regex(pattern: str) -> str | None:
     if p.endswith("/"):
         p += "**"
     if not re.search(r"[*?\[]", p):
-        return f"{re.escape(p)}(?:/.*)?"
-    parts = p.split("/")
-    out: list[str] = []
-    for k, part in enumerate(parts):
-        if part == "**":
-            if k == len(parts) - 1:
-                # Any rest, with what stands before it or without.
-                out.append("(?:/.*)?" if k else ".*")
-            else:
-                out.append("(?:/[^/]+)*" if k else "(?:[^/]+/)*")
-            continue
-        seg = segment_regex(part)
-        if seg is None:
+        return f"{re.escape(p)}/(?:[^/]*/)*"
+    out = []
+    for part in p.split("/"):
+        seg = None if part == "**" else segment_regex(part)
+        if part != "**" and seg is None:
             return None
-        lead = "" if k == 0 or (k == 1 and parts[0] == "**") else "/"
-        out.append(lead + seg)
+        if part != "**" or out[-1:] != ["(?:[^/]*/)*"]:
+            out.append("(?:[^/]*/)*" if part == "**" else f"{seg}/")
     whole = "".join(out)
-    if "/" not in p:
-        return rf"(?:.*/)?{whole}(?:/.*)?"
-    return whole
+    return f"(?:[^/]*/)*{whole}(?:[^/]*/)*" if "/" not in p and p != "**" else whole
 
 
 @dataclass
@@ -103,7 +93,7 @@ class PathFilter:
     @staticmethod
     def matches(path: Column, patterns) -> Column:
         found = [r for p in patterns if (r := glob_regex(p)) is not None]
-        return path.rlike("^(?:" + "|".join(found) + ")$") if found else F.lit(False)
+        return F.concat(path, F.lit("/")).rlike("^(?:" + "|".join(found) + ")$") if found else F.lit(False)
 
     def _stage(self, stage: str | None) -> list[str]:
         return {"scip": self.scip_exclude, "tree-sitter": self.tree_sitter_exclude}.get(stage or "", [])

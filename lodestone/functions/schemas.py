@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-NODES = StructType.fromDDL(
+
+def _schema(columns: str) -> StructType:
+    kinds = {"string": StringType(), "long": LongType()}
+    return StructType([StructField(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+NODES = _schema(
     "id string, kind string, name string, qualified_name string, file_path string, language string, start_line long, end_line long, "
     "start_column long, end_column long, signature string, docstring string, visibility string, return_type string, is_exported long, updated_at long"
 )
-EDGES = StructType.fromDDL("id long, source string, target string, kind string, provenance string, line long, col long, metadata string")
-FILES = StructType.fromDDL("path string, content_hash string, language string, size long, modified_at long, indexed_at long, node_count long, errors string")
-VERDICTS = StructType.fromDDL("id long, symbol_id string, has_active_defect long, stage string, decision string, rule_id string, description string, suggestion string, operator string, updated_at long")
+EDGES = _schema("id long, source string, target string, kind string, provenance string, line long, col long, metadata string")
+FILES = _schema("path string, content_hash string, language string, size long, modified_at long, indexed_at long, node_count long, errors string")
+VERDICTS = _schema("id long, symbol_id string, has_active_defect long, stage string, decision string, rule_id string, description string, suggestion string, operator string, updated_at long")
 
 #: Fixed values.
 NODE_KINDS = ("function", "method", "class", "struct", "interface", "macro", "variable", "local", "external", "route")
