@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import minhash, mixing, nbsvm, packing, secrets
-from lodestone.llm.common import Stages, table
+from lodestone.llm.common import Stages, broadcast_if_small, table
 from lodestone.llm.queries import QUALITY_BOUND, domain_labels, public_vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,12 +31,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the least id."""
-    kept = minhash.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = Stages(spark).write(kept, "kept")
-    # A repeated id's rows are one: only those few are compared by their columns.
-    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    more = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    stages = Stages(spark)
+    classes = stages.write(minhash.near_duplicates(docs), "classes")
+    # Those that go are the fewer; joined by them, texts need no shuffle unless they are very many.
+    gone = stages.write(classes.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.where("doc_id is not null").select(*COLUMNS).join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti")
+    repeated = stages.write(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if (n := repeated.count()) == 0:
+        return left
+    few = broadcast_if_small(repeated, n, 16)
+    return left.join(few, "doc_id", "left_anti").unionByName(left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
