@@ -102,26 +102,60 @@ def lifted(edges: DataFrame, kind: str, by: str = "file") -> DataFrame:
     return found.where("source != target").distinct()
 
 
-def cyclic(links: DataFrame) -> DataFrame:
-    """id and component (its least id) of all that lie on a cycle of links (source, target): members of each other's reach.
+def _spread(marks: DataFrame, links: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """marks (id, mark) with each id's least mark among those of all that reach it over links (source, target)."""
+    now, turn = stages.write(marks, f"{name}-0"), 0
+    while True:
+        sent = now.join(links, now["id"] == links["source"]).select(F.col("target").alias("id"), "mark")
+        better = now.unionByName(sent).groupBy("id").agg(F.min("mark").alias("mark"))
+        turn += 1
+        after = stages.write(better, f"{name}-{turn}")
+        changed = not after.join(now, ["id", "mark"], "left_anti").isEmpty()
+        stages.drop(f"{name}-{turn - 1}")
+        now = after
+        if not changed:
+            return now
 
-    Ends without predecessor or successor are peeled off first, then components are found by forward and backward reach of
-    the least id of what is left, for all weakly connected parts at once.
-    """
-    stages, turn = Stages(links.sparkSession), 0
-    rest = stages.write(links, "rest")
-    n = rest.count()
+
+def _inner(links: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """links without those of ids that have no predecessor or no successor, until all have both."""
+    n, turn = links.count(), 0
     while n:
-        core = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        heads, tails = links.select(F.col("target").alias("source")).distinct(), links.select(F.col("source").alias("target")).distinct()
         turn += 1
-        rest, before = stages.write(core.select("source", "target"), f"rest-{turn}"), n
-        n = rest.count()
+        links = stages.write(links.join(heads, "source", "left_semi").join(tails, "target", "left_semi").select("source", "target"), f"{name}-{turn}")
+        n, before = links.count(), n
         if n == before:
             break
-    # Mutual reach: pairs (root, id) both ways; the table is that of the cyclic core alone.
-    down = stages.write(_pairs(rest, stages, "down"), "down")
-    both = down.join(down.select(F.col("root").alias("id"), F.col("id").alias("root")), ["root", "id"])
-    return both.groupBy("id").agg(F.min("root").alias("least")).select("id", F.least("id", "least").alias("component"))
+    return links
+
+
+def cyclic(links: DataFrame) -> DataFrame:
+    """id and component (its least id) of all that lie on a cycle of links (source, target).
+
+    What lies on no cycle's way is peeled off. Then every id takes the least id that reaches it as its colour; an id that
+    has its own as colour is a root, and what reaches the root within its colour is the root's component. Components are
+    taken out, for all colours at once, and the rest starts over. Tables are never larger than the links.
+    """
+    stages, turn, found = Stages(links.sparkSession), 0, None
+    links = _inner(stages.write(links.select("source", "target"), "links"), stages, "inner")
+    while not links.isEmpty():
+        ids = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
+        colour = stages.write(_spread(ids.withColumn("mark", F.col("id")), links, stages, f"colour-{turn}"), f"colours-{turn}")
+        end = lambda c: colour.select(F.col("id").alias(c), F.col("mark").alias(f"{c}_mark"))
+        inside = links.join(end("source"), "source").join(end("target"), "target").where("source_mark = target_mark")
+        back = stages.write(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), f"back-{turn}")
+        roots = colour.where("id = mark").select("id")
+        own = stages.write(reach(back, roots, "down", None, kind=None).select("id").join(colour, "id").select("id", F.col("mark").alias("component")), f"own-{turn}")
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("id")
+        rest = links.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+        turn += 1
+        links = _inner(stages.write(rest.select("source", "target"), f"links-{turn}"), stages, f"inner-{turn}")
+    if found is None:
+        return links.select(F.col("source").alias("id"), F.col("source").alias("component"))
+    several = found.groupBy("component").count().where("count > 1").select("component")
+    return found.join(several, "component", "left_semi").select("id", "component")
 
 
 def _pairs(links: DataFrame, stages: Stages, name: str) -> DataFrame:

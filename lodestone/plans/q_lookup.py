@@ -31,9 +31,9 @@ def first_file(g: CodeGraph) -> str:
     return g.nodes.agg(F.min("file_path")).first()[0]
 
 
-@query("F07_search", f"select id, kind, name, file_path, start_line from nodes where (name ilike '%STEEL%' or qualified_name ilike '%STEEL%') and {P0} order by file_path, start_line, id limit 20")
+@query("F07_search", f"select id, kind, name, file_path, start_line from nodes where (name ilike '%ANVIL%' or qualified_name ilike '%ANVIL%') and {P0} order by file_path, start_line, id limit 20")
 def search(g):
-    return lookup.search(g.nodes, "STEEL").select("id", "kind", "name", "file_path", "start_line")
+    return lookup.search(g.nodes, "ANVIL").select("id", "kind", "name", "file_path", "start_line")
 
 
 @query("F07_search_kind", f"select id, kind, name from nodes where (name ilike '%d_g%' or qualified_name ilike '%d_g%') and kind = 'function' and {P0} order by file_path, start_line, id limit 50")
