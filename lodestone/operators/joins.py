@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.predicates import col
-
 #: Which of several enclosing functions counts: the first that starts, the smallest, or the last one.
 POLICIES = {
     "outermost": ("start_line", "id"),
@@ -107,10 +105,3 @@ def with_lead_end(definitions: DataFrame, default: int = 4) -> DataFrame:
     next_ = F.lead("start_line").over(Window.partitionBy("file_path").orderBy("start_line", "id"))
     return definitions.withColumn("end_line", F.greatest("start_line", F.coalesce(next_ - 1, F.col("start_line") + default)))
 
-
-def division(pairs: DataFrame, left: str, right: str, by: str) -> DataFrame:
-    """left values that have every `by` that right ones have: a general containment join."""
-    want = pairs.select(col(right), col(by)).where(col(right).isNotNull()).distinct()
-    have = pairs.select(col(left), col(by)).where(col(left).isNotNull()).distinct()
-    size = want.groupBy(right).agg(F.count("*").alias("size"))
-    return have.join(want, by).groupBy(left, right).agg(F.count("*").alias("met")).join(size, right).where("met = size").select(left, right)

@@ -41,6 +41,9 @@ select 'cust:'||cast(o_custkey as varchar(20)) as author, n.file_path as path, o
 from orders join nodes n on n.id = 'part:'||cast(o_orderkey % (select count(*) from part) as varchar(20))""",
     "changes": """
 select 'user_'||cast(user_id as varchar(20)) as path, event_type as op, ts, event_id from events""",
+    # Paths with words that tell of layers.
+    "layered": """
+select id, kind, name, qualified_name, replace(replace(file_path, 'economy', 'handler'), 'standard', 'storage') as file_path, language, start_line, end_line, is_exported from nodes""",
     # What a struct or interface contains, over methods of its own file.
     "members": """
 select a.id as source, b.id as target from nodes a join nodes b on a.file_path = b.file_path and a.kind in ('struct','interface') and b.kind = 'method'
@@ -112,6 +115,10 @@ class CodeGraph:
     def members(self) -> DataFrame:
         return self.sql(VIEWS["members"])
 
+    @cached_property
+    def layered(self) -> DataFrame:
+        return self.sql(VIEWS["layered"])
+
     @cached_property
     def files(self) -> DataFrame:
         return self.sql(TWO["files"][0])

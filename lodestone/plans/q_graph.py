@@ -233,10 +233,3 @@ def neighbours(g):
 def implements(g):
     return joins.implements(g.nodes, g.members)
 
-
-@query("J14_division")
-def division(g):
-    pairs = g.edges.select(F.col("source").alias("has"), F.col("target").alias("wants"), "kind")
-    return joins.division(pairs, "has", "wants", "kind")
-
-

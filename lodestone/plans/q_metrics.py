@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -162,9 +164,12 @@ def rank_sql(c: str) -> str:
     return f"case when {any_of(metrics.UPPER_LAYER)} then 1 when {any_of(metrics.LOWER_LAYER)} then 3 else 2 end"
 
 
-@query("A18_boundary_violations", f"with {EXPORTED}, roles as ({role_sql(DIR)}), l as (select f as source, t as target, count(*) as n from x where f <> t and t <> '.' and x.source in (select id from nodes where is_exported <> 0) group by f, t), k as (select place, {rank_sql(chr(39) + chr(39) + ' || place || ' + chr(39) + ' ' + chr(39) + ' || role')} as rank from roles) select source, target, n, case when s.rank = 1 then 'down' else 'up' end as direction from l join k s on s.place = source join k t on t.place = target where (s.rank = 1 and t.rank = 3) or (s.rank = 3 and t.rank = 1) order by n desc, source, target limit 12")
+BOUNDARY = f"with {EXPORTED}, roles as ({role_sql(DIR)}), l as (select f as source, t as target, count(*) as n from x where f <> t and t <> '.' and x.source in (select id from nodes where is_exported <> 0) group by f, t), k as (select place, {rank_sql(chr(39) + chr(39) + ' || place || ' + chr(39) + ' ' + chr(39) + ' || role')} as rank from roles) select source, target, n, case when s.rank = 1 then 'down' else 'up' end as direction from l join k s on s.place = source join k t on t.place = target where (s.rank = 1 and t.rank = 3) or (s.rank = 3 and t.rank = 1) order by n desc, source, target limit 12"
+
+
+@query("A18_boundary_violations", re.sub(r"\bnodes\b", "layered", BOUNDARY))
 def boundary_violations(g):
-    return metrics.boundary_violations(g.nodes, g.edges)
+    return metrics.boundary_violations(g.layered, g.edges)
 
 
 VERBS = ", ".join(f"('{a}', '{b}')" for a, b in metrics.VERB_PAIRS)
@@ -280,9 +285,9 @@ def cyclomatic(g):
 SIGNAL = " or ".join(f"contains(lower(line), '{w}')" for w in text.DISPATCH)
 
 
-@query("X23_dispatch", f"with h as (select doc_id, line_no, 'L' || line_no || ': ' || trim(line) as s, row_number() over (partition by doc_id order by line_no) as k from lines where {SIGNAL}) select doc_id, string_agg(s, chr(10) order by line_no) as signals from h where k <= 5 group by doc_id")
+@query("X23_dispatch", f"with coded as (select doc_id, line_no, replace(line, 'oning', 'hook') as line from lines), h as (select doc_id, line_no, 'L' || line_no || ': ' || trim(line) as s, row_number() over (partition by doc_id order by line_no) as k from coded where {SIGNAL}) select doc_id, string_agg(s, chr(10) order by line_no) as signals from h where k <= 5 group by doc_id")
 def dispatch(g):
-    found = g.table("documents").select("doc_id", text.dispatch_signals("text").alias("s")).where(F.size("s") > 0)
+    found = g.table("documents").select("doc_id", text.dispatch_signals(F.replace("text", F.lit("oning"), F.lit("hook"))).alias("s")).where(F.size("s") > 0)
     return found.select("doc_id", F.array_join("s", "\n").alias("signals"))
 
 
