@@ -15,6 +15,8 @@ from lodestone.session import Stages
 
 #: Walks up to this depth are one plan.
 LAZY = 4
+#: Steps of a longer walk between writes.
+AT_ONCE = 3
 
 
 def adjacency(edges: DataFrame, direction: str = "down", kind: str | None = "calls") -> DataFrame:
@@ -39,20 +41,28 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
         frontier = seen.drop("depth")
     parts, depth = [seen], 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        new = frontier.join(next_, F.col("id") == F.col("from")).select(*keys[:-1], F.col("to").alias("id")).distinct().join(known.select(*keys), keys, "left_anti")
-        new = new.select(*keys).withColumn("depth", F.lit(depth).cast("long"))
-        if staged:
-            new = stages.write(new, f"new-{depth}")
-            if new.isEmpty():
-                break
-            if len(parts) == 8:  # few files to read, whatever the depth
-                parts = [stages.write(known, f"seen-{depth}")]
-        parts.append(new)
-        frontier = new.drop("depth")
+        fresh: list[DataFrame] = []
+        while len(fresh) < AT_ONCE and (max_depth is None or depth < max_depth):
+            depth += 1
+            known = _union([*parts, *fresh]).select(*keys)
+            new = frontier.join(next_, F.col("id") == F.col("from")).select(*keys[:-1], F.col("to").alias("id")).distinct().join(known, keys, "left_anti")
+            fresh.append(new.select(*keys).withColumn("depth", F.lit(depth).cast("long")))
+            frontier = fresh[-1].drop("depth")
+        if not staged:
+            parts += fresh
+            continue
+        written = stages.write(_union(fresh), f"new-{depth}")
+        parts.append(written)
+        last = written.where(F.col("depth") == depth)
+        if last.isEmpty():
+            break
+        frontier = last.drop("depth")
+        if len(parts) == 8:  # few files to read, whatever the depth
+            parts = [stages.write(_union(parts), f"seen-{depth}")]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
