@@ -7,12 +7,12 @@ x >= 0, how often each document is to be taken, are fitted by projected gradient
     minimise  sum_d (S_d - T_d)^2 / (2 T^2 s_d)  +  ridge / 2 * sum_i (t_i / T) (x_i - 1)^2,   S_d = sum_i x_i t_i p_id,
 
 with t_i a document's tokens, p_id its posterior, T all tokens, T_d the target share of d times T, and s_d its share as it
-is. In the metric weighted by t_i a step is x_i <- max(0, x_i - sum_d p_id (S_d - T_d) / (T s_d) - ridge (x_i - 1)); step
-length 1 is safe, since the matrix of the first term is stochastic.
+is. A step goes down the gradient, scaled by the D x D curvature that the domains' sums have over documents with a positive
+rate, then to the nearest rates that aren't negative; it is halved until the error falls.
 
 Equal posteriors (in hundredths) have equal rates all along, so documents are first added up by posterior: the steps run
 over a table of at most C(99 + D, D - 1) rows for D domains, whatever the size of the corpus, and change nothing else. All
-of it is DataFrame operations; the driver gets the terms' weights and, each step, D sums.
+of it is DataFrame operations; the driver gets the terms' weights and, each step, D sums and their D x D curvature.
 
 A document is taken floor(rate) times, and once more if a hash of its id falls under the rest.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,23 +117,49 @@ def posteriors(docs: DataFrame, prior: list[float], weights: list[tuple[str, lis
 
 
 def fit_rates(cells: DataFrame, n: int, targets: list[float], *, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """cells (tokens, p0, ...) with a column rate, fitted by projected gradient steps."""
+    """cells (tokens, p0, ...) with a column rate, fitted by projected gradient steps.
 
-    def sums(df: DataFrame) -> tuple[float, list[float]]:
-        row = df.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{k}")).alias(f"s{k}") for k in range(n))).first()
-        return float(row["all"] or 0), [float(row[f"s{k}"] or 0) for k in range(n)]
-
-    now = cells.withColumn("rate", F.lit(1.0))
-    total, expected = sums(now)
-    share = [x / total if total else 0.0 for x in expected]
+    All rates start at 1, and a step changes each by a multiple of its posterior, so that they are max(0, 1 + p l) all along
+    for one vector l; it is all that a step needs to know of those before. The gradient is then p (e / s + ridge l), with e
+    the relative error of each domain.
+    """
+    names = [f"p{k}" for k in range(n)]
+    pairs = [(j, k) for j in range(n) for k in range(j, n)]
+
+    def rate(l: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((F.col(c) * float(x) for c, x in zip(names, l, strict=True)), F.lit(1.0)))
+
+    def look(l: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, the share of each domain at these rates, and the curvature over cells that aren't at the bound."""
+        rated = cells.withColumn("rate", rate(l))
+        free = F.col("tokens") * (F.col("rate") > 0).cast("int")
+        row = rated.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("rate") * F.col("tokens") * F.col(c)) for c in names), *(F.sum(free * F.col(names[j]) * F.col(names[k])) for j, k in pairs)).first()
+        total = float(row[0] or 0)
+        values = np.array([float(x or 0) for x in row[1:]]) / (total or 1.0)
+        curve = np.zeros((n, n))
+        for (j, k), x in zip(pairs, values[n:], strict=True):
+            curve[j, k] = curve[k, j] = x
+        return total, values[:n], curve
+
+    l, wanted = np.zeros(n), np.array(targets)
+    total, share, curve = look(l)
+    scale = np.maximum(share, 1e-9)
+    slope = share - wanted + ridge * scale * l
     for _ in range(steps if total else 0):
-        error = [x / total - t for x, t in zip(expected, targets, strict=True)]
-        if max(abs(e) / t if t else abs(e) for e, t, s in zip(error, targets, share, strict=True) if s > 0) < TOLERANCE:
+        if np.abs(slope[share > 0] / np.maximum(wanted[share > 0], 1e-9)).max(initial=0.0) < TOLERANCE:
+            break
+        move = -np.linalg.lstsq(curve + np.diag(ridge * scale), slope, rcond=None)[0]
+        length = 1.0
+        while True:
+            _, now, next_curve = look(l + length * move)
+            after = now - wanted + ridge * scale * (l + length * move)
+            if (after**2 / scale).sum() < (slope**2 / scale).sum() or length < 1e-3:
+                break
+            length /= 2
+        if length < 1e-3:
             break
-        slope = sum((F.col(f"p{k}") * (e / s) for k, (e, s) in enumerate(zip(error, share, strict=True)) if s > 0), F.lit(0.0))
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), (1 - ridge) * F.col("rate") - slope + ridge))
-        total, expected = sums(now)
-    return now
+        l, share, curve, slope = l + length * move, now, next_curve, after
+    return cells.withColumn("rate", rate(l))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_terms: int = TERMS, keep: list[str] | None = None) -> DataFrame:
