@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 BUILT_IN = (
-    ".git/**", ".astramap/**", ".understand-anything/**", ".cache/**", ".idea/**", ".vscode/**", "node_modules/**", "build/**",
+    ".git/**", ".lodestone/**", ".understand-anything/**", ".cache/**", ".idea/**", ".vscode/**", "node_modules/**", "build/**",
     "dist/**", "vendor/**", "target/**", "out/**", "tmp/**", "temp/**", ".trash*/**",
 )
 

@@ -17,7 +17,7 @@ LANGUAGE_EXTENSIONS = {
     "cpp": (".cc", ".cpp", ".cxx", ".hpp", ".hxx"),
 }
 INDEX_EXTENSIONS = (".go", ".py", ".ts", ".tsx", ".js", ".jsx", ".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".hxx", ".java")
-SKIPPED_DIRECTORIES = (".git", ".astramap", ".understand-anything", ".cache", ".idea", ".vscode", "node_modules", "build", "dist", "vendor", "target", "out", "tmp", "temp")
+SKIPPED_DIRECTORIES = (".git", ".lodestone", ".understand-anything", ".cache", ".idea", ".vscode", "node_modules", "build", "dist", "vendor", "target", "out", "tmp", "temp")
 ID_PREFIXES = {"c": "c", "go": "go", "python": "py", "typescript": "ts", "cpp": "cxx", "java": "java"}
 
 

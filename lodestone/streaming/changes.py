@@ -17,7 +17,7 @@ from lodestone.operators.mutations import sync
 
 QUIET = "800 milliseconds"
 #: Directories whose changes aren't watched.
-UNWATCHED = (".git", "node_modules", ".astramap", "dist", "build", "vendor", ".idea")
+UNWATCHED = (".git", "node_modules", ".lodestone", "dist", "build", "vendor", ".idea")
 
 
 def watched(events: DataFrame) -> DataFrame:
