@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked in one task, about.
 CELL = 1000
-#: Words whose ids a worker keeps; at this many it starts anew.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker keeps: the first ones, which most texts share. It starts anew when they are of little use.
+CACHE_WORDS = 300_000
 
 #: Texts of these characters only are the same for the tokenizer word by word and in lower case: no combining marks, no
 #: white space that Python and the tokenizer's patterns see differently, no capital that folds to more than one character.
@@ -48,6 +49,13 @@ _LETTERS = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]+")
 _LETTERS_MARKS = re.compile(r"([a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
+def plain(text: str) -> bool:
+    """Whether a text has only the characters of _PLAIN."""
+    if text.isascii():
+        return text.replace("\n", " ").replace("\t", " ").isprintable()
+    return _PLAIN.fullmatch(text) is not None
+
+
 class Ids:
     """Token ids of texts as bytes (little-endian, 32 bits each), the same as the tokenizer's for the whole text."""
 
@@ -65,8 +73,6 @@ class Ids:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         runs, rest, split = set(), set(), []
         for w in words:
             if _LETTERS.fullmatch(w):
@@ -101,19 +107,25 @@ class Ids:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "<|" not in text and _PLAIN.fullmatch(text):
+            if "<|" not in text and plain(text):
                 split[i] = text.lower().split()
             else:
                 out[i] = self._encode([text])[0].tobytes()
         known = self.words
-        missing = {w for words in split.values() for w in words if w not in known}
+        words = set().union(*split.values())
+        missing = words - known.keys()
+        full = len(known) >= CACHE_WORDS
+        if full and 2 * len(missing) > len(words):
+            known.clear()
+            missing, full = words, False
+        size = len(known)
         if missing:
-            before = len(known)
-            if before > CACHE_WORDS:
-                missing = {w for words in split.values() for w in words}
             self._learn(missing)
-        for i, words in split.items():
-            out[i] = b"".join(map(known.__getitem__, words))
+        for i, parts in split.items():
+            out[i] = b"".join(map(known.__getitem__, parts))
+        if full:
+            for w in list(islice(reversed(known), len(known) - size)):
+                del known[w]
         return out
 
 
@@ -140,8 +152,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ids_of(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 for r, data in enumerate(encoder.of(part.column(1).to_pylist())):
                     data += end
