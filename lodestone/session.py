@@ -66,6 +66,7 @@ class Stages:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -76,7 +77,19 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, self.path(name))
+
+
+_roots: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all staged tables of this process. Results are read from them, so they must have been written elsewhere before."""
+    while _roots:
+        _delete(spark, _roots.pop())
