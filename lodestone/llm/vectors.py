@@ -10,11 +10,16 @@ Graph. Within a shard each vector's nearest ones and a few random ones are prune
 chosen neighbour is ALPHA times nearer to it than the vector is. Links get their reverse, and what the medoid can't reach
 gets a link from the nearest vector that it can. A vector's lists from all its shards are united.
 
-Search. Each vector is sought from the shard's medoid and ENTRIES more spread over it: a beam of the nearest vectors seen is expanded until all are, then
+Search. Within a shard each vector is sought from the shard's medoid and ENTRIES more spread over it: a beam of the nearest vectors seen is expanded until all are, then
 all vectors seen within range, until no new one appears. Links found are verified in double precision. Each shard audits a
 sample of its queries against brute force and doubles the beam until the recall reaches AUDIT. A link in two shards counts
 in the lesser one alone; to the components each shard gives a spanning forest of its links, so no list of links leaves it.
 
+Across shards. A vector's home is the shard of the nearest pivot at each split; homes are cells that don't overlap. Cells of
+a label are compared exactly, block against block, and pairs with a common shard left out, as the search has them. A pair of
+cells, or a vector against a cell, is passed over only if the cells' centers and radii rule out every link. Cells go in
+tiles of TILE numbers at most; a task compares one tile with another, so a vector is copied once for each tile of its label.
+
 Defined results: vectors that are null, empty, zero or have null or non-finite components, and those without label, link
 with nothing; equal vectors link; rows with a null id are left out; each row is a vector of its own, repeated ids too.
 """
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Stages, broadcast_if_small
@@ -36,6 +41,8 @@ COSINE = 0.93
 SHARD, PIVOTS, APART = 2048, 48, 0.75
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 16, 1.2
 BEAM, AUDIT, ENTRIES, AT_A_TIME = 32, 0.98, 32, 8
+#: Components of all vectors in a tile of cells, at most.
+TILE = 1 << 21
 _BLOCK = 128
 
 
@@ -196,6 +203,134 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def within(sims: np.ndarray, radius: np.ndarray | float, cosine: float) -> np.ndarray:
+    """Whether what has such a similarity to a cell's center may link with a member of the cell."""
+    return np.arccos(np.clip(sims, -1, 1)) <= radius + np.arccos(cosine) + 1e-3
+
+
+class Cell:
+    """The vectors whose home is one shard."""
+
+    def __init__(self, row, at: int, number: dict[str, int]):
+        self.tile, self.radius, self.at = row.tile, row.radius, at
+        self.center = np.frombuffer(row.center, np.float64)
+        self.ids, self.copies, self.least = (np.frombuffer(b, np.int64) for b in (row.ids, row.copies, row.least))
+        self.vectors = np.frombuffer(row.vectors, np.float32).reshape(len(self.ids), -1)
+        self.x = unit(self.vectors)
+        size = [len(paths) for paths in row.paths]
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.shard = np.array([number.setdefault(p, len(number)) for paths in row.paths for p in paths], np.int64)
+
+    def may_meet(self, other: Cell, cosine: float) -> np.ndarray:
+        return np.flatnonzero(within(self.x @ other.center, other.radius, cosine))
+
+    def inside(self, shards: np.ndarray) -> np.ndarray:
+        """Which vectors are in which of the sorted shards, as 0 and 1."""
+        out = np.zeros((len(self.ids), len(shards)), np.float32)
+        there = np.isin(self.shard, shards)
+        out[self.row[there], np.searchsorted(shards, self.shard[there])] = 1
+        return out
+
+
+def cell(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row with all of a cell, its center, and the angle from there to the farthest member."""
+    frame = frame.sort_values("rep")
+    vectors = np.stack(frame["vector"].to_numpy()).astype(np.float32)
+    x = unit(vectors).astype(np.float64)
+    center = x.mean(axis=0) if np.linalg.norm(x.mean(axis=0)) > 1e-6 else x[0]
+    center /= np.linalg.norm(center)
+    radius = float(np.arccos(np.clip((x @ center).min(), -1, 1)))
+    packed = {c: [frame[c].to_numpy().astype(np.int64).tobytes()] for c in ("rep", "copies", "least")}
+    return pd.DataFrame({"path": [frame["path"].iloc[0]], "kind": [frame["kind"].iloc[0]], "dim": [vectors.shape[1]], "center": [center.tobytes()], "radius": [radius], "ids": packed["rep"], "copies": packed["copies"], "least": packed["least"], "vectors": [vectors.tobytes()], "paths": [[list(p) for p in frame["paths"]]]})
+
+
+def hits(a: Cell, b: Cell, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Positions in a and in b, and which of them link without having a common shard; None if none may."""
+    if not within(a.center @ b.center, a.radius + b.radius, cosine):
+        return None
+    rows, columns = a.may_meet(b, cosine), b.may_meet(a, cosine)
+    if not len(rows) or not len(columns):
+        return None
+    sims = a.x[rows] @ b.x[columns].T
+    hit = sims >= cosine - 1e-4
+    if len(common := np.intersect1d(a.shard, b.shard)):
+        hit &= a.inside(common)[rows] @ b.inside(common)[columns].T == 0
+    # What is too near to the bound for single precision.
+    close_a, close_b = np.nonzero(hit & (sims < cosine + 1e-4))
+    for s in range(0, len(close_a), 65536):
+        i, j = close_a[s : s + 65536], close_b[s : s + 65536]
+        u, v = a.vectors[rows[i]].astype(np.float64), b.vectors[columns[j]].astype(np.float64)
+        hit[i, j] = np.einsum("ij,ij->i", u, v) >= cosine * np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)
+    return (rows, columns, hit) if hit.any() else None
+
+
+def across(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Links between the cells of two tiles, or within one: a count for each vector, and a spanning forest by least ids."""
+    cells, number, n = [], {}, 0
+    for row in frame.sort_values("path").itertuples():
+        cells.append(Cell(row, n, number))
+        n += len(cells[-1].ids)
+    one = frame["low"].iloc[0] == frame["high"].iloc[0]
+    ids, least = (np.concatenate([getattr(c, k) for c in cells]) for k in ("ids", "least"))
+    count, parent, tree = np.zeros(n), list(range(n)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, a in enumerate(cells):
+        for b in cells[k + 1 :]:
+            if not one and a.tile == b.tile or (found := hits(a, b, cosine)) is None:
+                continue
+            rows, columns, hit = found
+            amount = hit.astype(np.float64)
+            count[a.at + rows] += amount @ b.copies[columns]
+            count[b.at + columns] += a.copies[rows] @ amount
+            while True:  # each turn joins every part that has a link to another, until none has
+                here, there = (np.array([root(i) for i in at.tolist()]) for at in (a.at + rows, b.at + columns))
+                fresh = hit & (here[:, None] != there[None, :])
+                some, other = np.flatnonzero(fresh.any(axis=1)), np.flatnonzero(fresh.any(axis=0))
+                if not len(some):
+                    break
+                pairs = np.concatenate([np.stack([rows[some], columns[fresh[some].argmax(axis=1)]], 1), np.stack([rows[fresh[:, other].argmax(axis=0)], columns[other]], 1)])
+                for i, j in (pairs + [a.at, b.at]).tolist():
+                    p, q = root(i), root(j)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        tree.append((least[i], least[j]))
+    met = np.flatnonzero(count)
+    ends = np.array(tree, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"rep": np.concatenate([ids[met], np.full(len(ends), -1)]), "n": np.concatenate([count[met], np.zeros(len(ends))]).astype(np.int64), "a": np.concatenate([np.full(len(met), -1), ends[:, 0]]), "b": np.concatenate([np.full(len(met), -1), ends[:, 1]])})
+
+
+def links_across(members: DataFrame, stages: Stages, cosine: float) -> DataFrame | None:
+    """Links of vectors without a common shard, as across() gives them; None if no label has been split."""
+    homes = members.where("home and path != kind").select("rep", "vector", "path", "kind", "paths", "copies", "least")
+    schema = "path string, kind string, dim long, center binary, radius double, ids binary, copies binary, least binary, vectors binary, paths array<array<string>>"
+    cells = stages.write(homes.groupBy("path").applyInPandas(cell, schema), "cells")
+    if cells.isEmpty():
+        return None
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("path")) - 1
+    tiled = cells.select("path", "kind", "center", "radius", F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(TILE) / (F.lit(SHARD) * F.col("dim"))))).cast("long").alias("tile"))
+    tiled = stages.write(tiled, "tiled")
+    tiles = tiled.groupBy("kind", F.col("tile").alias("other")).agg(F.collect_list(F.struct("path", "center", "radius")).alias("there"))
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = []
+            for path, center, radius, there in zip(frame["path"], frame["center"], frame["radius"], frame["there"], strict=True):
+                there = [t for t in there if t["path"] != path]
+                sims = np.array([np.frombuffer(t["center"], np.float64) @ np.frombuffer(center, np.float64) for t in there])
+                keep.append(bool(len(there)) and bool(within(sims, radius + np.array([t["radius"] for t in there]), cosine).any()))
+            yield frame.loc[keep, ["path", "tile", "low", "high"]]
+
+    pairs = tiled.join(tiles, "kind").select("*", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    keys = pairs.select("path", "center", "radius", "tile", "low", "high", "there").mapInPandas(meet, "path string, tile long, low long, high long")
+    return keys.join(cells, "path").groupBy("kind", "low", "high").applyInPandas(lambda frame: across(frame, cosine), "rep long, n long, a long, b long")
+
+
 def spread(centers: np.ndarray) -> np.ndarray:
     """The pivots that are no nearer than APART to one before; all of them if less than three are."""
     sims = centers @ centers.T
@@ -207,7 +342,7 @@ def spread(centers: np.ndarray) -> np.ndarray:
 
 
 def split(points: DataFrame, stages: Stages) -> DataFrame:
-    """points (rep, vector, path) with one row for each shard that a vector is in; a shard has at most SHARD rows."""
+    """points (rep, vector, path, home) with one row for each shard that a vector is in, one of them its home; a shard has at most SHARD rows."""
     turn = 0
     while True:
         counts = points.groupBy("path").agg(F.count("*").alias("n"))
@@ -236,13 +371,13 @@ def split(points: DataFrame, stages: Stages) -> DataFrame:
                     sims = x @ centers.T + dice.astype(np.float32) * np.float32(1e-6 / (1 << 24))
                     two = np.argsort(-sims, axis=1)[:, :2]
                     for k in range(two.shape[1]):
-                        out.append(pd.DataFrame({"rep": part["rep"], "vector": part["vector"], "path": [f"{path}/{c}" for c in two[:, k]]}))
+                        out.append(pd.DataFrame({"rep": part["rep"], "vector": part["vector"], "path": [f"{path}/{c}" for c in two[:, k]], "home": part["home"] & (k == 0)}))
                 yield pd.concat(out)
 
-        parts = named.select("rep", "vector", "path", "centers").mapInPandas(nearest, "rep long, vector array<float>, path string").where("path is not null")
+        parts = named.select("rep", "vector", "path", "home", "centers").mapInPandas(nearest, "rep long, vector array<float>, path string, home boolean").where("path is not null")
         without = marked.where("n is not null").join(lists.select("path"), "path", "left_anti")
         small = marked.where("n is null")
-        columns = ["rep", "vector", "path"]
+        columns = ["rep", "vector", "path", "home"]
         points = stages.write(small.select(columns).unionByName(without.select(columns)).unionByName(parts).distinct(), f"points-{turn + 1}")
         turn += 1
 
@@ -261,8 +396,8 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     # A repeated id may stand for several vectors: their own numbers keep them apart.
     groups = stages.write(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    points = split(groups.select(F.col("node").alias("rep"), "vector", "path"), stages)
-    copies = groups.select(F.col("node").alias("rep"), "copies", F.col("rep").alias("least"))
+    points = split(groups.select(F.col("node").alias("rep"), "vector", "path", F.lit(True).alias("home")), stages)
+    copies = groups.select(F.col("node").alias("rep"), "copies", F.col("rep").alias("least"), F.col("path").alias("kind"))
     shards = points.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     members = stages.write(points.join(shards, "rep").join(copies, "rep"), "members")
 
@@ -297,6 +432,8 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
         return pd.DataFrame({"rep": np.concatenate([ids, np.full(len(tree), -1)]), "n": np.concatenate([count, np.zeros(len(tree))]).astype(np.int64), "a": np.concatenate([np.full(n, -1), [least[i] for i, _ in tree]]).astype(np.int64), "b": np.concatenate([np.full(n, -1), [least[j] for _, j in tree]]).astype(np.int64)})
 
     found = stages.write(members.join(united, "rep").groupBy("path").applyInPandas(search, "rep long, n long, a long, b long"), "found")
+    if (more := links_across(members, stages, cosine)) is not None:
+        found = found.unionByName(stages.write(more, "across"))
     links = found.where("rep = -1").select("a", "b")
     components = stages.write(connected_components(links, stages, "links"), "components")
     linked = found.where("rep >= 0").groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))

@@ -394,6 +394,29 @@ def test_split_labels_keep_their_links(spark, monkeypatch):
     assert 0.9 * true <= got.n_links.sum() <= true
 
 
+def brute(x):
+    """The number of links of each vector, and the least position in its component."""
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = u @ u.T >= vectors.COSINE
+    least = np.arange(len(x))
+    while ((now := np.where(linked, least[None, :], len(x)).min(axis=1)) != least).any():
+        least = now
+    return linked.sum(axis=1) - 1, least
+
+
+@pytest.mark.parametrize("tile", [1 << 21, 4 * 64 * 16])
+def test_pairs_without_a_common_shard_are_linked(spark, monkeypatch, tile):
+    monkeypatch.setattr(vectors, "SHARD", 64)
+    monkeypatch.setattr(vectors, "TILE", tile)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(600, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.33]).astype(np.float32)
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).toPandas().sort_values("vec_id")
+    n_links, least = brute(x)
+    assert got.n_links.tolist() == n_links.tolist()
+    assert got.component_id.tolist() == least.tolist()
+
+
 # --- op6, op9 ---
 
 
