@@ -417,6 +417,18 @@ def test_pairs_without_a_common_shard_are_linked(spark, monkeypatch, tile):
     assert got.component_id.tolist() == least.tolist()
 
 
+def test_a_dense_group_larger_than_a_shard_has_all_links(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 64)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=32) + rng.normal(size=(400, 32)) * 0.12).astype(np.float32)
+    x = np.concatenate([x, x[:5]])
+    n_links, least = brute(x)
+    assert n_links.min() == len(x) - 1
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == n_links.tolist()
+    assert (got.component_id == 0).all() and got.kept.sum() == 1
+
+
 # --- op6, op9 ---
 
 
