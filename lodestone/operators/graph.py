@@ -286,20 +286,30 @@ def flow(edges: DataFrame, root: DataFrame, max_depth: int | None = None) -> Dat
     return edges.where("kind = 'calls'").join(seen, "source", "left_semi")
 
 
-def file_layers(links: DataFrame, longest: int = 6) -> DataFrame:
-    """id and layer of a graph of links: the longest walk without repeats from a root, bounded; roots have no predecessor,
-    or are the three with most links if all have one; what is not reached comes in a last layer."""
+def file_layers(links: DataFrame) -> DataFrame:
+    """id and layer of a graph of links: the longest walk from a root, with the members of a cycle as one; roots have no
+    predecessor, or are the three with most links if all have one; what is not reached comes in a last layer."""
+    stages = Stages(links.sparkSession)
+    links = stages.write(links.select("source", "target"), "links")
     ids = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
+    links = links.where("source != target")
     roots = ids.join(links.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
     if roots.isEmpty():
         roots = links.groupBy(F.col("source").alias("id")).count().orderBy(F.desc("count"), "id").limit(3).select("id")
-    reached = roots.withColumn("layer", F.lit(0).cast("long"))
-    frontier, stages = reached, Stages(links.sparkSession)
-    for d in range(1, longest + 1):
-        frontier = stages.write(frontier.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().withColumn("layer", F.lit(d).cast("long")), f"layer-{d}")
-        reached = reached.unionByName(frontier)
-    best = reached.groupBy("id").agg(F.max("layer").alias("layer"))
-    return ids.join(best, "id", "left").select("id", F.coalesce("layer", F.lit(longest + 1)).cast("long").alias("layer"))
+    whole = stages.write(ids.join(cyclic(links.distinct()), "id", "left").select("id", F.coalesce("component", "id").alias("part")), "parts")
+    end = lambda c: whole.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"))
+    ahead = links.join(end("source"), "source").join(end("target"), "target").where("source_part != target_part").select("source_part", "target_part").distinct()
+    ahead = stages.write(ahead, "ahead")
+    frontier = stages.write(roots.join(whole, "id").select("part").distinct().withColumn("layer", F.lit(0).cast("long")), "layer-0")
+    parts, depth = [frontier], 0
+    while not frontier.isEmpty():  # without cycles every walk ends
+        depth += 1
+        frontier = stages.write(frontier.join(ahead, F.col("part") == F.col("source_part")).select(F.col("target_part").alias("part")).distinct().withColumn("layer", F.lit(depth).cast("long")), f"layer-{depth}")
+        parts.append(frontier)
+        if len(parts) == 8:  # few files to read, whatever the depth
+            parts = [stages.write(_union(parts).groupBy("part").agg(F.max("layer").alias("layer")), f"best-{depth}")]
+    best = _union(parts).groupBy("part").agg(F.max("layer").alias("layer"))
+    return whole.join(best, "part", "left").select("id", F.coalesce("layer", F.lit(depth)).cast("long").alias("layer"))
 
 
 def fold_leaves(edges: DataFrame, keep: int = 2, beyond: int = 3) -> DataFrame:

@@ -103,7 +103,7 @@ def reach(g):
 
 @query("G10_file_layers")
 def file_layers(g):
-    return graph.file_layers(file_links(g), 4)
+    return graph.file_layers(file_links(g))
 
 
 UP5 = UP3.replace("< 3", "< 5").replace(MOST_CALLED, MOST_CALLING)

@@ -97,6 +97,14 @@ def test_cycles(edges):
     assert [r["cycle"] for r in graph.simple_cycles(graph.lifted(edges, "imports", "package")).collect()] == [["file:db", "file:svc"]]
 
 
+def test_file_layers_have_no_depth_limit(spark):
+    chain = [(f"f{k:02d}", f"f{k + 1:02d}") for k in range(11)]
+    # A short cut, a cycle behind the root with a file below it, and two files that no root reaches.
+    links = spark.createDataFrame([*chain, ("f00", "f09"), ("f00", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", "d"), ("u1", "u2"), ("u2", "u1")], "source string, target string")
+    got = {r["id"]: r["layer"] for r in graph.file_layers(links).collect()}
+    assert got == {**{f"f{k:02d}": k for k in range(12)}, "c1": 1, "c2": 1, "d": 2, "u1": 12, "u2": 12}
+
+
 def test_coupling(edges):
     r = metrics.coupling(edges, "file:svc").first()
     assert (r["ca"], r["ce"], r["instability"]) == (1, 1, 0.5)
