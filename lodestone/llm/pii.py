@@ -87,8 +87,8 @@ GENERATORS = {
     "more_phone": re.compile(r"(?<![0-9.])[+(]?[0-9][0-9().\x20/-]{5,22}[0-9](?![0-9])"),
     "more_account": re.compile(r"\b(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4})\b", re.ASCII),
 }
-#: What a text needs for any pattern or generator: an address sign, a digit, or a written-out one.
-_MAY_HAVE = r"[0-9@]|\([aA][tT]\)|\[[aA][tT]\]|\{[aA][tT]\}|[dD][oO][tT]\b|\(a\)"
+#: What a text needs for any pattern or generator: an address sign, a digit, or the middle of what else a generator fits.
+_MAY_HAVE = rf"[0-9@]|(?i:[A-Z0-9._%+-]\x20?{_AT}\x20?[A-Z0-9-]{{1,63}}\x20?{_DOT}\x20?[A-Z0-9-])|(?:[A-Fa-f]{{1,4}}:){{3}}[A-Fa-f]"
 
 _CONTEXT = (
     re.compile(r"phone|call|tel|mobil|cell|fax|whatsapp|ring|contact|dial|sms", re.IGNORECASE),

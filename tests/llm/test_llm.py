@@ -347,6 +347,19 @@ def test_redaction_replaces_unions_of_spans():
     assert secrets.replace_spans("abcdefghij", [(1, "x", 3), (2, "y", 5), (7, "z", 8)], "#") == "a#fg#ij"
 
 
+def test_no_generator_fits_what_the_prefilter_leaves_out(spark):
+    lines = [f"write to anna{at}web{dot}de today" for at in (" at ", " AT ", " (at) ", "[At]", " {aT} ", "(a)", " (A) ") for dot in (".", " . ", " dot ", " [dot] ", "(DOT)", " (punkt) ", " (Punkt) ")]
+    lines += ["host dead:beef:cafe:fade answers", "host a:b:c:d:e:f:a:b answers"]
+    assert all(pii.candidates(t) for t in lines)
+    lines += ["we met at noon", "nothing here.", "a dot at the end"]
+    model, bounds = pii.trained()
+    want = {i: pii.text_spans(t, model, bounds) for i, t in enumerate(lines)}
+    got = {r["id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    fits = pa.compute.match_substring_regex(pa.array(lines), pii._MAY_HAVE).to_pylist()
+    assert all(fit for t, fit in zip(lines, fits, strict=True) if pii.candidates(t))
+    assert got == want
+
+
 # --- op5 ---
 
 
