@@ -2,17 +2,18 @@
 
 A labelled table gives some documents a domain. A naive Bayes classifier over the TERMS most telling words (and how varied
 a text's words are) predicts every document's posterior over the domains, which is its soft membership. Document rates
-x >= 0, how often each document is to be taken, are fitted by projected gradient steps to the least-squares problem
+x >= 0, how often each document is to be taken, are fitted by damped Newton steps in the dual to the least-squares problem
 
     minimise  sum_d (S_d - T_d)^2 / (2 T^2 s_d)  +  ridge / 2 * sum_i (t_i / T) (x_i - 1)^2,   S_d = sum_i x_i t_i p_id,
 
 with t_i a document's tokens, p_id its posterior, T all tokens, T_d the target share of d times T, and s_d its share as it
-is. A step goes down the gradient, scaled by the D x D curvature that the domains' sums have over documents with a positive
-rate, then to the nearest rates that aren't negative; it is halved until the error falls.
+is. The rates are max(0, 1 + p l) for one vector l of D numbers. A step solves the D x D curvature that the domains' sums have
+over documents with a positive rate, and moves l; it is halved until the error falls. This is not projected gradient on the
+rates, whose clipped rates would forget their negative part; the optimum is the same.
 
-Equal posteriors (in hundredths) have equal rates all along, so documents are first added up by posterior: the steps run
-over a table of at most C(99 + D, D - 1) rows for D domains, whatever the size of the corpus, and change nothing else. All
-of it is DataFrame operations; the driver gets the terms' weights and, each step, D sums and their D x D curvature.
+Posteriors are rounded to hundredths, so that one under 0.005 counts as 0; the last domain takes what rounding leaves. Equal
+ones have equal rates, so documents are first added up by posterior: the steps run over a table of at most C(99 + D, D - 1)
+rows for D domains, whatever the size of the corpus. All of it is DataFrame operations; the driver gets the terms' weights and, each step, D sums and their D x D curvature.
 
 A document is taken floor(rate) times, and once more if a hash of its id falls under the rest.
 
@@ -117,10 +118,10 @@ def posteriors(docs: DataFrame, prior: list[float], weights: list[tuple[str, lis
 
 
 def fit_rates(cells: DataFrame, n: int, targets: list[float], *, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """cells (tokens, p0, ...) with a column rate, fitted by projected gradient steps.
+    """cells (tokens, p0, ...) with a column rate, fitted by damped Newton steps in the dual.
 
-    All rates start at 1, and a step changes each by a multiple of its posterior, so that they are max(0, 1 + p l) all along
-    for one vector l; it is all that a step needs to know of those before. The gradient is then p (e / s + ridge l), with e
+    All rates start at 1 and are max(0, 1 + p l) for one vector l, which the steps move; it is all that a step needs to know
+    of those before. The gradient is then p (e / s + ridge l), with e
     the relative error of each domain.
     """
     names = [f"p{k}" for k in range(n)]
