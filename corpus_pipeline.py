@@ -3,8 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's
 result is written as Parquet to the shared folder and read again as the next one's documents.
 
-Defined results: rows with a null doc_id are dropped by the near-duplicate stage; repeated rows are one from there on, until
-the mix takes a document several times; an empty table gives an empty result.
+Defined results: rows with a null doc_id are dropped by the near-duplicate stage; rows that repeat an id and its text are one
+from there on, until the mix takes a document several times, while different texts under one id are documents of their own;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +31,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least id."""
+    """One document of each class of near-duplicates: the one with the least id, of texts with one id the one with the least hash."""
     stages = Stages(spark)
-    classes = stages.write(minhash.near_duplicates(docs), "classes")
-    # Those that go are the fewer; joined by them, texts need no shuffle unless they are very many.
-    gone = stages.write(classes.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.where("doc_id is not null").select(*COLUMNS).join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti")
-    repeated = stages.write(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    docs = docs.where("doc_id is not null").select(*COLUMNS)
+    repeated = stages.write(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if (n := repeated.count()) == 0:
-        return left
+        classes = stages.write(minhash.near_duplicates(docs), "classes")
+        # Those that go are the fewer; joined by them, texts need no shuffle unless they are very many.
+        gone = stages.write(classes.where("not kept").select("doc_id").distinct(), "gone")
+        return docs.join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti")
+    # Rows of one id and text are one; different texts under one id get a number each, and are compared by it.
     few = broadcast_if_small(repeated, n, 16)
-    return left.join(few, "doc_id", "left_anti").unionByName(left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rest = F.struct(*COLUMNS[2:])
+    once = docs.join(few, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
+    rows = docs.join(few, "doc_id", "left_anti").unionByName(once)
+    rows = stages.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    classes = stages.write(minhash.near_duplicates(rows, id_col="row"), "classes")
+    named = classes.join(rows.select("row", "doc_id", F.xxhash64("text").alias("mark")), "row")
+    best = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "mark", "row"))["row"].alias("row"))
+    gone = stages.write(classes.select("row").join(best, "row", "left_anti"), "gone")
+    return rows.join(broadcast_if_small(gone, gone.count(), 16), "row", "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

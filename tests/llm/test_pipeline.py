@@ -43,6 +43,14 @@ def test_one_of_equal_documents_stays(stages):
     assert stages[2].exceptAll(stages[1]).isEmpty()
 
 
+def test_different_texts_under_one_id_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(5, text(0)), (5, text(0)), (5, text(1)), (5, text(2)), (3, text(2)), (9, text(1)), (7, text(3)), (6, text(3)), (8, None), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"] or "") for r in cp.near_duplicates(spark, docs, DATA).collect())
+    assert got == sorted([(5, text(0)), (5, text(1)), (3, text(2)), (6, text(3)), (8, ""), (8, "")])
+
+
 def test_secrets_go_and_documents_stay(stages):
     before = {r["doc_id"]: r["text"] for r in stages[2].collect()}
     after = {r["doc_id"]: r for r in stages[3].collect()}
