@@ -3,17 +3,19 @@
 Only vectors of one label and length are compared. Equal vectors are one from the start, under their least id.
 
 Shards. A label with more than SHARD vectors is split by pivots, a hash sample of its own vectors, each vector going to
-the two nearest; parts that are still too large are split again. Pivots are APART from one another, so that a dense group has
-one and stays together, unless all of a part is one dense group. A shard fits one task.
+the two nearest; parts that are still too large are split again, where a vector's home gets a second part and its other
+copies move on to one. Pivots are APART from one another, so that a dense group has one and stays together, unless all of a
+part is one dense group. A shard fits one task.
 
 Graph. Within a shard each vector's nearest ones and a few random ones are pruned robustly: a candidate is dropped if a
 chosen neighbour is ALPHA times nearer to it than the vector is. Links get their reverse, and what the medoid can't reach
 gets a link from the nearest vector that it can. A vector's lists from all its shards are united.
 
-Search. Within a shard each vector is sought from the shard's medoid and ENTRIES more spread over it: a beam of the nearest vectors seen is expanded until all are, then
-all vectors seen within range, until no new one appears. Links found are verified in double precision. Each shard audits a
-sample of its queries against brute force and doubles the beam until the recall reaches AUDIT. A link in two shards counts
-in the lesser one alone; to the components each shard gives a spanning forest of its links, so no list of links leaves it.
+Search. Within a shard each vector is sought from the shard's medoid and ENTRIES more spread over it: a beam of the nearest
+vectors seen is expanded until all are, then all vectors seen within range, until no new one appears. Links found are
+verified in double precision. Each shard audits a sample of its queries against brute force and doubles the beam until the
+recall reaches AUDIT. A link in two shards counts in the lesser one alone; to the components each shard gives one link from
+each vector to the least of its part, so no list of links leaves it.
 
 Across shards. A vector's home is the shard of the nearest pivot at each split; homes are cells that don't overlap. Cells of
 a label are compared exactly, block against block, and pairs with a common shard left out, as the search has them. A pair of
@@ -22,6 +24,7 @@ tiles of TILE numbers at most; a task compares one tile with another, so a vecto
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components, and those without label, link
 with nothing; equal vectors link; rows with a null id are left out; each row is a vector of its own, repeated ids too.
+Vectors of double precision, or of whole numbers, are compared as they are, in double precision.
 """
 
 from __future__ import annotations
@@ -40,93 +43,118 @@ from lodestone.session import ship
 COSINE = 0.93
 SHARD, PIVOTS, APART = 2048, 48, 0.75
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 16, 1.2
-BEAM, AUDIT, ENTRIES, AT_A_TIME = 32, 0.98, 32, 8
+BEAM, AUDIT, ENTRIES, AT_A_TIME = 16, 0.98, 64, 16
 #: Components of all vectors in a tile of cells, at most.
 TILE = 1 << 21
 _BLOCK = 128
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one in single precision; scaled first, so that no square overflows."""
+    return scaled(x).astype(np.float32)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one in double precision."""
     x = x.astype(np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(axis=0)).argmax())
 
 
-def prune(x: np.ndarray, at: int, seen: np.ndarray) -> list[int]:
-    """Neighbours of the vector at a position, chosen from candidates, nearest first."""
-    seen = seen[seen != at]
-    far = 1 - x[seen] @ x[at]
-    order = np.argsort(far, kind="stable")
-    seen, far = seen[order], far[order]
-    between = 1 - x[seen] @ x[seen].T
-    open_, out = np.ones(len(seen), bool), []
-    while len(out) < DEGREE and open_.any():
-        k = int(open_.argmax())
-        out.append(int(seen[k]))
-        open_ &= ALPHA * between[k] > far
-        open_[k] = False
-    return out
+def prune(x: np.ndarray, at: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to) of the vectors at some positions, chosen from a row of candidates for each."""
+    far = 1 - np.einsum("ijk,ik->ij", x[seen], x[at])
+    far[seen == at[:, None]] = np.inf
+    order = np.argsort(far, axis=1, kind="stable")
+    seen, far = np.take_along_axis(seen, order, 1), np.take_along_axis(far, order, 1)
+    near = x[seen]
+    between = ALPHA * (1 - near @ near.transpose(0, 2, 1))
+    open_ = np.isfinite(far)
+    open_[:, 1:] &= seen[:, 1:] != seen[:, :-1]
+    every, chosen = np.arange(len(at)), []
+    for _ in range(DEGREE):
+        k = open_.argmax(axis=1)
+        has = open_[every, k]
+        if not has.any():
+            break
+        chosen.append((at[has], seen[every, k][has]))
+        open_ &= between[every, k] > far
+        open_[every, k] = False
+    return np.concatenate([c[0] for c in chosen] or [at[:0]]), np.concatenate([c[1] for c in chosen] or [at[:0]])
+
+
+class Links:
+    """Directed links of a shard, those of one vector side by side."""
+
+    def __init__(self, n: int, source: np.ndarray, target: np.ndarray):
+        source, target = np.divmod(np.unique(source.astype(np.int64) * n + target), n) if n else (source, target)
+        inner = source != target
+        self.n, self.target = n, target[inner]
+        self.at = np.searchsorted(source[inner], np.arange(n + 1))
 
+    def ahead(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many neighbours each of nodes has, and the neighbours."""
+        size = self.at[nodes + 1] - self.at[nodes]
+        return size, self.target[np.repeat(self.at[nodes] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(nodes) else self.target[:0]
 
-def build(x: np.ndarray, seed: int = 5) -> list[set[int]]:
+    def of(self, node: int) -> np.ndarray:
+        return self.target[self.at[node] : self.at[node + 1]]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(self.n), np.diff(self.at)), self.target
+
+
+def build(x: np.ndarray, seed: int = 5) -> Links:
     """Neighbours of each vector of a shard; all can be reached from the medoid."""
     n, rng = len(x), np.random.default_rng(seed)
-    links: list[set[int]] = [set() for _ in range(n)]
-    near = min(NEAREST + 1, n)
-    for a in range(0, n, 1024):
-        sims = x[a : a + 1024] @ x.T
+    near, found = min(NEAREST + 1, n), []
+    for a in range(0, n, 512):
+        sims = x[a : a + 512] @ x.T
         top = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-        for i, row in enumerate(top):
-            seen = np.unique(np.concatenate([row, rng.integers(0, n, RANDOM)]))
-            links[a + i] = set(prune(x, a + i, seen))
-    for i in range(n):
-        for j in list(links[i]):
-            links[j].add(i)  # without a bound but the shard's: the members of a dense group hang on its middle
-    reach(x, links)
-    return links
-
-
-def reach(x: np.ndarray, links: list[set[int]]) -> None:
-    """Adds links until the medoid reaches every vector."""
-    n = len(x)
-    start = medoid(x)
-    reached = np.zeros(n, bool)
-    todo = [start]
-    reached[start] = True
+        found.append(prune(x, np.arange(a, a + len(top)), np.concatenate([top, rng.integers(0, n, (len(top), RANDOM))], axis=1)))
+    source, target = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    # Reverse links have no bound but the shard's: the members of a dense group hang on its middle.
+    return reach(x, Links(n, np.concatenate([source, target]), np.concatenate([target, source])))
+
+
+def reach(x: np.ndarray, links: Links) -> Links:
+    """links with more, so that the medoid reaches every vector."""
+    reached, more = np.zeros(links.n, bool), []
+    todo = np.array([medoid(x)])
     while True:
-        while todo:
-            i = todo.pop()
-            for j in links[i]:
-                if not reached[j]:
-                    reached[j] = True
-                    todo.append(j)
+        while len(todo):
+            reached[todo] = True
+            ahead = np.unique(links.ahead(todo)[1])
+            todo = ahead[~reached[ahead]]
         rest = np.flatnonzero(~reached)
         if not len(rest):
-            return
+            break
         inside = np.flatnonzero(reached)
-        j = int(rest[0])
-        links[int(inside[(x[inside] @ x[j]).argmax()])].add(j)
-        reached[j] = True
-        todo = [j]
+        more.append((int(inside[(x[inside] @ x[rest[0]]).argmax()]), int(rest[0])))
+        todo = rest[:1]
+    if not more:
+        return links
+    source, target = links.pairs()
+    added = np.array(more, np.int64)
+    return Links(links.n, np.concatenate([source, added[:, 0]]), np.concatenate([target, added[:, 1]]))
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, links: list[set[int]]):
-        self.x = x
+    def __init__(self, x: np.ndarray, links: Links):
+        self.x, self.links = x, links
         self.start = np.unique(np.append(np.random.default_rng(17).permutation(len(x))[:ENTRIES], medoid(x)))
-        self.size = np.array([len(s) for s in links], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.flat = np.array([j for s in links for j in sorted(s)], np.int64)
 
     def _visit(self, sims: np.ndarray, asked: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> None:
         """Similarities to the neighbours of each row's nodes, where not yet known."""
-        size = self.size[nodes]
-        at = np.repeat(self.at[nodes] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        keys = np.repeat(rows, size) * len(self.x) + self.flat[at]
-        keys = np.unique(keys[sims.ravel()[keys] == -np.inf])
+        size, ahead = self.links.ahead(nodes)
+        keys = np.repeat(rows, size) * len(self.x) + ahead
+        fresh = np.zeros(sims.size, bool)
+        fresh[keys] = True
+        keys = np.flatnonzero(fresh & (sims.ravel() == -np.inf))
         for a in range(0, len(keys), 65536):
             rows, nodes = np.divmod(keys[a : a + 65536], len(self.x))
             sims[rows, nodes] = np.einsum("ij,ij->i", self.x[nodes], asked[rows])
@@ -142,7 +170,7 @@ class Graph:
             done = np.zeros((len(block), n), bool)
             sims[:, self.start] = asked @ self.x[self.start].T
             while True:
-                top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+                top = np.argpartition(sims, n - beam, axis=1)[:, n - beam :]
                 value = np.take_along_axis(sims, top, 1)
                 value[np.take_along_axis(done, top, 1)] = -np.inf
                 best = np.argpartition(-value, min(AT_A_TIME, beam) - 1, axis=1)[:, :AT_A_TIME]
@@ -163,7 +191,7 @@ class Graph:
             yield block[rows], nodes
 
 
-def shard_links(vectors: np.ndarray, links: list[set[int]], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(vectors: np.ndarray, links: Links, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of a shard (first position less than second), searched, audited and verified."""
     n = len(vectors)
     x = unit(vectors)
@@ -179,28 +207,28 @@ def shard_links(vectors: np.ndarray, links: list[set[int]], cosine: float) -> tu
     pairs = [np.minimum(a, b) * n + np.maximum(a, b) for a, b in graph.search(np.arange(n), bound, beam)]
     a, b = np.divmod(np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), n)
     a, b = a[a != b], b[a != b]
-    exact = vectors.astype(np.float64)
-    norm = np.linalg.norm(exact, axis=1)
-    keep = np.concatenate([np.einsum("ij,ij->i", exact[a[s : s + 65536]], exact[b[s : s + 65536]]) >= cosine * norm[a[s : s + 65536]] * norm[b[s : s + 65536]] for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+    exact = scaled(vectors)
+    keep = [np.einsum("ij,ij->i", exact[a[s : s + 65536]], exact[b[s : s + 65536]]) >= cosine for s in range(0, len(a), 65536)]
+    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
     return a[keep], b[keep]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = root(i), root(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+def parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n positions the least one that it reaches over links (a, b)."""
+    least = np.arange(n)
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        now = least.copy()
+        np.minimum.at(now, least[a], low)
+        np.minimum.at(now, least[b], low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == least).all():
+            break
+        least = now
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    return least
 
 
 def within(sims: np.ndarray, radius: np.ndarray | float, cosine: float) -> np.ndarray:
@@ -215,7 +243,8 @@ class Cell:
         self.tile, self.radius, self.at = row.tile, row.radius, at
         self.center = np.frombuffer(row.center, np.float64)
         self.ids, self.copies, self.least = (np.frombuffer(b, np.int64) for b in (row.ids, row.copies, row.least))
-        self.vectors = np.frombuffer(row.vectors, np.float32).reshape(len(self.ids), -1)
+        vectors = np.frombuffer(row.vectors, np.float32 if len(row.vectors) == 4 * row.dim * len(self.ids) else np.float64)
+        self.vectors = vectors.reshape(len(self.ids), -1)
         self.x = unit(self.vectors)
         size = [len(paths) for paths in row.paths]
         self.row = np.repeat(np.arange(len(size)), size)
@@ -235,7 +264,7 @@ class Cell:
 def cell(frame: pd.DataFrame) -> pd.DataFrame:
     """One row with all of a cell, its center, and the angle from there to the farthest member."""
     frame = frame.sort_values("rep")
-    vectors = np.stack(frame["vector"].to_numpy()).astype(np.float32)
+    vectors = np.stack(frame["vector"].to_numpy())
     x = unit(vectors).astype(np.float64)
     center = x.mean(axis=0) if np.linalg.norm(x.mean(axis=0)) > 1e-6 else x[0]
     center /= np.linalg.norm(center)
@@ -259,8 +288,7 @@ def hits(a: Cell, b: Cell, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
     close_a, close_b = np.nonzero(hit & (sims < cosine + 1e-4))
     for s in range(0, len(close_a), 65536):
         i, j = close_a[s : s + 65536], close_b[s : s + 65536]
-        u, v = a.vectors[rows[i]].astype(np.float64), b.vectors[columns[j]].astype(np.float64)
-        hit[i, j] = np.einsum("ij,ij->i", u, v) >= cosine * np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)
+        hit[i, j] = np.einsum("ij,ij->i", scaled(a.vectors[rows[i]]), scaled(b.vectors[columns[j]])) >= cosine
     return (rows, columns, hit) if hit.any() else None
 
 
@@ -342,28 +370,25 @@ def spread(centers: np.ndarray) -> np.ndarray:
 
 
 def split(points: DataFrame, stages: Stages) -> DataFrame:
-    """points (rep, vector, path, home) with one row for each shard that a vector is in, one of them its home; a shard has at most SHARD rows."""
+    """points (rep, vector, path, home) with one row for each shard that a vector is in, one of them its home; a shard has at
+    most SHARD rows. A home that is split gives its vectors a second shard; other copies move on to the nearest part alone,
+    so that a vector has at most one shard more than its home was split."""
     turn = 0
     while True:
         counts = points.groupBy("path").agg(F.count("*").alias("n"))
         large = stages.write(counts.where(F.col("n") > SHARD).withColumn("pivots", F.least(F.lit(PIVOTS), F.ceil(F.col("n") * 4 / SHARD))), f"large-{turn}")
         if (n_large := large.count()) == 0:
             return points
-        large_paths = broadcast_if_small(large, n_large, 128)
-        marked = points.join(large_paths, "path", "left")
         # A hash of id and turn stands for a uniform draw: about as many pivots as named, others in the next turn.
         draw = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = marked.where(F.col("n").isNotNull() & (draw < F.col("pivots") / F.col("n")))
-        lists = chosen.groupBy("path").agg(F.sort_array(F.collect_list("vector")).alias("centers"))
-        lists = stages.write(lists, f"pivots-{turn}")
-        named = marked.where("n is not null").join(broadcast_if_small(lists, n_large, 4 * 1024 * PIVOTS * 2), "path")
+        chosen = points.select("rep", "vector", "path").join(broadcast_if_small(large, n_large, 128), "path").where(draw < F.col("pivots") / F.col("n"))
+        lists = stages.write(chosen.groupBy("path").agg(F.sort_array(F.collect_list("vector")).alias("centers")), f"pivots-{turn}")
+        small_lists = broadcast_if_small(lists, n_large, 8 * 1024 * PIVOTS * 2)
 
         def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                if not len(frame):
-                    continue
-                out = []
-                for path, part in frame.groupby("path", sort=False):
+                out = [frame[frame["centers"].isna()]]
+                for path, part in frame[frame["centers"].notna()].groupby("path", sort=False):
                     centers = spread(unit(np.stack(part["centers"].iloc[0])))
                     x = unit(np.stack(part["vector"].to_numpy()))
                     # Ties, as of vectors in one direction, are broken by the id, or a part would not shrink.
@@ -371,14 +396,14 @@ def split(points: DataFrame, stages: Stages) -> DataFrame:
                     sims = x @ centers.T + dice.astype(np.float32) * np.float32(1e-6 / (1 << 24))
                     two = np.argsort(-sims, axis=1)[:, :2]
                     for k in range(two.shape[1]):
-                        out.append(pd.DataFrame({"rep": part["rep"], "vector": part["vector"], "path": [f"{path}/{c}" for c in two[:, k]], "home": part["home"] & (k == 0)}))
-                yield pd.concat(out)
-
-        parts = named.select("rep", "vector", "path", "home", "centers").mapInPandas(nearest, "rep long, vector array<float>, path string, home boolean").where("path is not null")
-        without = marked.where("n is not null").join(lists.select("path"), "path", "left_anti")
-        small = marked.where("n is null")
-        columns = ["rep", "vector", "path", "home"]
-        points = stages.write(small.select(columns).unionByName(without.select(columns)).unionByName(parts).distinct(), f"points-{turn + 1}")
+                        moved = pd.DataFrame({"rep": part["rep"], "vector": part["vector"], "path": [f"{path}/{c}" for c in two[:, k]], "home": part["home"] & (k == 0)})
+                        out.append(moved if k == 0 else moved[part["home"].to_numpy(bool)])
+                yield pd.concat(out)[["rep", "vector", "path", "home"]]
+
+        kind = points.schema["vector"].dataType.simpleString()
+        moved = points.select("rep", "vector", "path", "home").join(small_lists, "path", "left").select("rep", "vector", "path", "home", "centers")
+        points = stages.write(moved.mapInPandas(nearest, f"rep long, vector {kind}, path string, home boolean"), f"points-{turn + 1}")
+        stages.drop(f"points-{turn}", f"large-{turn}")
         turn += 1
 
 
@@ -386,50 +411,56 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     """One row per row with an id: id_col, n_links (other rows linked directly), component_id and kept."""
     spark = ship(rows.sparkSession)
     stages = Stages(spark)
-    rows = rows.select(rows[id_col].cast("long").alias("id"), rows[vector_col].cast("array<float>").alias("vector"), rows[label_col].cast("string").alias("label")).where("id is not null")
+    kind = rows.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = rows.select(rows[id_col].cast("long").alias("id"), rows[vector_col].cast(kind).alias("vector"), rows[label_col].cast("string").alias("label")).where("id is not null")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    kind = F.concat_ws(":", "label", F.size("vector").cast("string"))
-    marked = rows.where("usable").select("id", "vector", kind.alias("path"), F.xxhash64("vector").alias("mark1"), F.xxhash64(F.lit("second"), "vector").alias("mark2"))
-    groups = stages.write(marked.groupBy("path", "mark1", "mark2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "groups")
+    path = F.concat_ws(":", "label", F.size("vector").cast("string"))
+    marked = rows.where("usable").select("id", "vector", path.alias("path"), F.xxhash64("vector").alias("mark1"), F.xxhash64(F.lit("second"), "vector").alias("mark2"))
+    groups = marked.groupBy("path", "mark1", "mark2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     # A repeated id may stand for several vectors: their own numbers keep them apart.
     groups = stages.write(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     points = split(groups.select(F.col("node").alias("rep"), "vector", "path", F.lit(True).alias("home")), stages)
     copies = groups.select(F.col("node").alias("rep"), "copies", F.col("rep").alias("least"), F.col("path").alias("kind"))
-    shards = points.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    members = stages.write(points.join(shards, "rep").join(copies, "rep"), "members")
+    # Ids alone are gathered; vectors are joined with them once.
+    shards = points.groupBy("rep").agg(F.array_sort(F.collect_list("path")).alias("paths")).join(copies, "rep")
+    members = stages.write(points.join(shards, "rep"), "members")
 
     def graph(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
         ids = frame["rep"].to_numpy()
         links = build(unit(np.stack(frame["vector"].to_numpy())))
-        return pd.DataFrame({"rep": ids, "nearby": [ids[sorted(s)] for s in links]})
+        return pd.DataFrame({"rep": ids, "nearby": np.split(ids[links.target], links.at[1:-1])})
 
     lists = members.select("rep", "vector", "path").groupBy("path").applyInPandas(graph, "rep long, nearby array<long>")
     united = stages.write(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nearby"))).alias("nearby")), "graph")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep").reset_index(drop=True)
-        own = frame["path"].iloc[0]
-        ids = frame["rep"].to_numpy()
-        n = len(ids)
+        own, n = frame["path"].iloc[0], len(frame)
+        ids, least, amount = (frame[c].to_numpy() for c in ("rep", "least", "copies"))
         vectors = np.stack(frame["vector"].to_numpy())
-        links = []
-        for i, nearby in enumerate(frame["nearby"]):
-            at = np.minimum(np.searchsorted(ids, nearby), n - 1)
-            links.append({int(j) for j, k in zip(at, nearby, strict=True) if ids[j] == k and j != i})
-        reach(unit(vectors), links)
-        a, b = shard_links(vectors, links, cosine)
+        nearby = frame["nearby"].to_numpy()
+        source, target = np.repeat(np.arange(n), [len(x) for x in nearby]), np.concatenate(nearby)
+        at = np.minimum(np.searchsorted(ids, target), n - 1)
+        there = ids[at] == target
+        a, b = shard_links(vectors, reach(unit(vectors), Links(n, source[there], at[there])), cosine)
         # The lesser of two vectors' common shards counts their link.
-        earlier = [frozenset(p for p in paths if p < own) for paths in frame["paths"]]
-        mine = np.array([not (earlier[i] and earlier[j] and earlier[i] & earlier[j]) for i, j in zip(a, b, strict=True)], bool) if any(earlier) else np.ones(len(a), bool)
-        amount = frame["copies"].to_numpy()
+        earlier = [[p for p in paths if p < own] for paths in frame["paths"]]
+        number = {p: k for k, p in enumerate(sorted({p for paths in earlier for p in paths}))}
+        inside = np.zeros((n, len(number)), bool)
+        for i, paths in enumerate(earlier):
+            inside[i, [number[p] for p in paths]] = True
+        mine = [~(inside[a[s : s + 65536]] & inside[b[s : s + 65536]]).any(axis=1) for s in range(0, len(a), 65536)]
+        mine = np.concatenate(mine) if mine else np.zeros(0, bool)
         count = np.bincount(a[mine], amount[b[mine]], n) + np.bincount(b[mine], amount[a[mine]], n)
-        tree = forest(n, a, b)
-        least = frame["least"].to_numpy()
-        return pd.DataFrame({"rep": np.concatenate([ids, np.full(len(tree), -1)]), "n": np.concatenate([count, np.zeros(len(tree))]).astype(np.int64), "a": np.concatenate([np.full(n, -1), [least[i] for i, _ in tree]]).astype(np.int64), "b": np.concatenate([np.full(n, -1), [least[j] for _, j in tree]]).astype(np.int64)})
+        root = parts(n, a, b)
+        tree = np.flatnonzero(root != np.arange(n))
+        blank = np.full(n, -1)
+        return pd.DataFrame({"rep": np.concatenate([ids, np.full(len(tree), -1)]), "n": np.concatenate([count, np.zeros(len(tree))]).astype(np.int64), "a": np.concatenate([blank, least[root[tree]]]), "b": np.concatenate([blank, least[tree]])})
 
     found = stages.write(members.join(united, "rep").groupBy("path").applyInPandas(search, "rep long, n long, a long, b long"), "found")
     if (more := links_across(members, stages, cosine)) is not None:
@@ -437,8 +468,9 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     links = found.where("rep = -1").select("a", "b")
     components = stages.write(connected_components(links, stages, "links"), "components")
     linked = found.where("rep >= 0").groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
-    summed = groups.join(linked, "node").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    summed = groups.drop("vector").join(linked, "node").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
     summed = summed.select("path", "mark1", "mark2", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     some = marked.select("id", "path", "mark1", "mark2").join(summed, ["path", "mark1", "mark2"]).select("id", "n_links", "component_id")
     none = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    stages.drop("members", "graph")
     return some.unionByName(none).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -442,6 +442,27 @@ def test_a_dense_group_larger_than_a_shard_has_all_links(spark, monkeypatch):
     assert (got.component_id == 0).all() and got.kept.sum() == 1
 
 
+def test_double_vectors_are_compared_in_double_precision(spark):
+    near = [1.0, 0.0, 1e-9]
+    at_bound = [0.93, (1 - 0.93**2) ** 0.5 - 1e-12, 0.0]
+    beyond = [0.93, (1 - 0.93**2) ** 0.5 + 1e-9, 0.0]
+    table = [(1, [1e300, 0.0, 0.0], 0), (2, [-1e-300, 0.0, 0.0], 0), (3, [x * 1e200 for x in at_bound], 0), (4, beyond, 0), (5, near, 1), (5, [0.0, 1.0, 0.0], 1), (5, near, 1), (None, near, 1)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit("x")).withColumn("path", F.lit(1))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 0, 2, True), (3, 2, 1, False), (4, 1, 1, False), (5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True)]
+
+
+def test_odd_vectors(spark):
+    """Null labels, lengths that differ, whole numbers, and a hot vector that a third of the rows share."""
+    table = [(i, [1, 2, 3], 0) for i in range(40)] + [(100 + i, [i, 1 - i, 7], 0) for i in range(40)] + [(200 + i, [1, 2, 3], None) for i in range(3)] + [(300, [1, 2], 0)]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<int>, label int")).collect()}
+    x = np.array([v for _, v, label in table[:80]], float)
+    n_links, least = brute(x)
+    assert [got[i]["n_links"] for i, _, _ in table[:80]] == n_links.tolist()
+    assert [got[i]["component_id"] for i, _, _ in table[:80]] == [table[k][0] for k in least]
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (200, 201, 202, 300))
+
+
 # --- op6, op9 ---
 
 
