@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Stages, broadcast_if_small
+from lodestone.llm.common import BROADCAST_BYTES, Stages, broadcast_if_small
 from lodestone.llm.components import connected_components
 from lodestone.session import ship
 
@@ -369,42 +370,73 @@ def spread(centers: np.ndarray) -> np.ndarray:
     return centers[chosen] if len(chosen) > 2 else centers
 
 
+def matrix(vectors: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def two_nearest(reps: np.ndarray, vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Numbers of the two nearest centers, the nearest first; ties, as of vectors in one direction, are broken by the id, or a part would not shrink."""
+    dice = (reps.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(centers), dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+    sims = unit(vectors) @ centers.T + dice.astype(np.float32) * np.float32(1e-6 / (1 << 24))
+    return np.argsort(-sims, axis=1)[:, :2]
+
+
 def split(points: DataFrame, stages: Stages) -> DataFrame:
     """points (rep, vector, path, home) with one row for each shard that a vector is in, one of them its home; a shard has at
     most SHARD rows. A home that is split gives its vectors a second shard; other copies move on to the nearest part alone,
     so that a vector has at most one shard more than its home was split."""
-    turn = 0
+    spark, turn, done = points.sparkSession, 0, []
+    columns = ["rep", "vector", "path", "home"]
+    kind = points.schema["vector"].dataType.simpleString()
     while True:
-        counts = points.groupBy("path").agg(F.count("*").alias("n"))
+        counts = points.groupBy("path").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"))
         large = stages.write(counts.where(F.col("n") > SHARD).withColumn("pivots", F.least(F.lit(PIVOTS), F.ceil(F.col("n") * 4 / SHARD))), f"large-{turn}")
-        if (n_large := large.count()) == 0:
-            return points
+        n_large, dim = large.agg(F.count("*"), F.max("dim")).first()
+        if not n_large:
+            break
+        few = broadcast_if_small(large.select("path", "n", "pivots"), n_large, 128)
+        done.append(points.join(few, "path", "left_anti").select(columns))
+        points = points.join(few, "path")
         # A hash of id and turn stands for a uniform draw: about as many pivots as named, others in the next turn.
         draw = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = points.select("rep", "vector", "path").join(broadcast_if_small(large, n_large, 128), "path").where(draw < F.col("pivots") / F.col("n"))
+        chosen = points.where(draw < F.col("pivots") / F.col("n"))
         lists = stages.write(chosen.groupBy("path").agg(F.sort_array(F.collect_list("vector")).alias("centers")), f"pivots-{turn}")
-        small_lists = broadcast_if_small(lists, n_large, 8 * 1024 * PIVOTS * 2)
-
-        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = [frame[frame["centers"].isna()]]
-                for path, part in frame[frame["centers"].notna()].groupby("path", sort=False):
-                    centers = spread(unit(np.stack(part["centers"].iloc[0])))
-                    x = unit(np.stack(part["vector"].to_numpy()))
-                    # Ties, as of vectors in one direction, are broken by the id, or a part would not shrink.
-                    dice = (part["rep"].to_numpy().astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(centers), dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
-                    sims = x @ centers.T + dice.astype(np.float32) * np.float32(1e-6 / (1 << 24))
-                    two = np.argsort(-sims, axis=1)[:, :2]
-                    for k in range(two.shape[1]):
-                        moved = pd.DataFrame({"rep": part["rep"], "vector": part["vector"], "path": [f"{path}/{c}" for c in two[:, k]], "home": part["home"] & (k == 0)})
-                        out.append(moved if k == 0 else moved[part["home"].to_numpy(bool)])
-                yield pd.concat(out)[["rep", "vector", "path", "home"]]
-
-        kind = points.schema["vector"].dataType.simpleString()
-        moved = points.select("rep", "vector", "path", "home").join(small_lists, "path", "left").select("rep", "vector", "path", "home", "centers")
-        points = stages.write(moved.mapInPandas(nearest, f"rep long, vector {kind}, path string, home boolean"), f"points-{turn + 1}")
-        stages.drop(f"points-{turn}", f"large-{turn}")
+        # Centers go to the workers as one table if they are small, else with each row.
+        shared = None
+        if n_large * PIVOTS * 2 * dim * 8 <= BROADCAST_BYTES:
+            shared = spark.sparkContext.broadcast({r["path"]: spread(unit(np.array(r["centers"]))) for r in lists.collect()})
+            moved = points.select(columns)
+        else:
+            moved = points.select(columns).join(lists, "path", "left").select(*columns, "centers")
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                paths = batch.column(2).dictionary_encode()
+                code = np.asarray(paths.indices)
+                for k, path in enumerate(paths.dictionary.to_pylist()):
+                    part = batch.take(pa.array(np.flatnonzero(code == k)))
+                    if shared is not None:
+                        centers = shared.value.get(path)
+                    else:
+                        own = part.column(4)[0]
+                        centers = spread(unit(np.array(own.as_py()))) if own.is_valid else None
+                    if centers is None:  # no pivot was drawn: the part waits for the next turn
+                        yield pa.RecordBatch.from_arrays(part.columns[:4], columns)
+                        continue
+                    two = two_nearest(part.column(0).to_numpy(), matrix(part.column(1)), centers)
+                    home = np.asarray(part.column(3))
+                    for c in range(two.shape[1]):
+                        keep = pa.array(np.flatnonzero(home) if c else np.arange(len(home)))
+                        names = pa.array([f"{path}/{x}" for x in two[keep.to_numpy(), c].tolist()], pa.string())
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), names, pa.array(home[keep.to_numpy()] & (c == 0))], columns)
+
+        points = stages.write(moved.mapInArrow(nearest, f"rep long, vector {kind}, path string, home boolean"), f"points-{turn + 1}")
         turn += 1
+    for part in done:
+        points = points.unionByName(part)
+    return points
 
 
 def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -429,40 +461,42 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     shards = points.groupBy("rep").agg(F.array_sort(F.collect_list("path")).alias("paths")).join(copies, "rep")
     members = stages.write(points.join(shards, "rep"), "members")
 
-    def graph(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep")
-        ids = frame["rep"].to_numpy()
-        links = build(unit(np.stack(frame["vector"].to_numpy())))
-        return pd.DataFrame({"rep": ids, "nearby": np.split(ids[links.target], links.at[1:-1])})
+    def graph(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep")
+        ids = rows["rep"].to_numpy()
+        links = build(unit(matrix(rows["vector"])))
+        return pa.table({"rep": ids, "nearby": pa.ListArray.from_arrays(pa.array(links.at.astype(np.int32)), pa.array(ids[links.target]))})
 
-    lists = members.select("rep", "vector", "path").groupBy("path").applyInPandas(graph, "rep long, nearby array<long>")
+    lists = members.select("rep", "vector", "path").groupBy("path").applyInArrow(graph, "rep long, nearby array<long>")
     united = stages.write(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nearby"))).alias("nearby")), "graph")
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep").reset_index(drop=True)
-        own, n = frame["path"].iloc[0], len(frame)
-        ids, least, amount = (frame[c].to_numpy() for c in ("rep", "least", "copies"))
-        vectors = np.stack(frame["vector"].to_numpy())
-        nearby = frame["nearby"].to_numpy()
-        source, target = np.repeat(np.arange(n), [len(x) for x in nearby]), np.concatenate(nearby)
+    def search(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep")
+        own, n = rows["path"][0].as_py(), rows.num_rows
+        ids, least, amount = (rows[c].to_numpy() for c in ("rep", "least", "copies"))
+        vectors = matrix(rows["vector"])
+        nearby = rows["nearby"].combine_chunks()
+        source, target = np.repeat(np.arange(n), np.diff(nearby.offsets.to_numpy())), nearby.flatten().to_numpy()
         at = np.minimum(np.searchsorted(ids, target), n - 1)
         there = ids[at] == target
         a, b = shard_links(vectors, reach(unit(vectors), Links(n, source[there], at[there])), cosine)
         # The lesser of two vectors' common shards counts their link.
-        earlier = [[p for p in paths if p < own] for paths in frame["paths"]]
-        number = {p: k for k, p in enumerate(sorted({p for paths in earlier for p in paths}))}
-        inside = np.zeros((n, len(number)), bool)
-        for i, paths in enumerate(earlier):
-            inside[i, [number[p] for p in paths]] = True
+        paths = rows["paths"].combine_chunks()
+        names, whose = paths.flatten().dictionary_encode(), np.repeat(np.arange(n), np.diff(paths.offsets.to_numpy()))
+        earlier = np.array([p < own for p in names.dictionary.to_pylist()], bool)
+        number = np.cumsum(earlier) - 1
+        code = np.asarray(names.indices)
+        inside = np.zeros((n, int(earlier.sum())), bool)
+        inside[whose[earlier[code]], number[code[earlier[code]]]] = True
         mine = [~(inside[a[s : s + 65536]] & inside[b[s : s + 65536]]).any(axis=1) for s in range(0, len(a), 65536)]
         mine = np.concatenate(mine) if mine else np.zeros(0, bool)
         count = np.bincount(a[mine], amount[b[mine]], n) + np.bincount(b[mine], amount[a[mine]], n)
         root = parts(n, a, b)
         tree = np.flatnonzero(root != np.arange(n))
         blank = np.full(n, -1)
-        return pd.DataFrame({"rep": np.concatenate([ids, np.full(len(tree), -1)]), "n": np.concatenate([count, np.zeros(len(tree))]).astype(np.int64), "a": np.concatenate([blank, least[root[tree]]]), "b": np.concatenate([blank, least[tree]])})
+        return pa.table({"rep": np.concatenate([ids, np.full(len(tree), -1)]), "n": np.concatenate([count, np.zeros(len(tree))]).astype(np.int64), "a": np.concatenate([blank, least[root[tree]]]), "b": np.concatenate([blank, least[tree]])})
 
-    found = stages.write(members.join(united, "rep").groupBy("path").applyInPandas(search, "rep long, n long, a long, b long"), "found")
+    found = stages.write(members.join(united, "rep").groupBy("path").applyInArrow(search, "rep long, n long, a long, b long"), "found")
     if (more := links_across(members, stages, cosine)) is not None:
         found = found.unionByName(stages.write(more, "across"))
     links = found.where("rep = -1").select("a", "b")
