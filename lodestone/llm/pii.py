@@ -13,6 +13,7 @@ Defined results: a null text counts as empty; an empty text has no spans; repeat
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -219,10 +220,11 @@ def text_spans(text: str, model: boosting.Trees, bounds: dict[str, float]) -> li
     if proposed:
         p = model.probabilities(np.array([features(text, k, a, b) for a, k, b in proposed], float))
         accepted = sorted(((-q, c) for q, c in zip(p, proposed, strict=True) if q >= bounds[c[1]]), key=lambda t: (t[0], t[1]))
-        covered: list[tuple[int, int]] = []
+        covered: list[tuple[int, int]] = []  # in order, none over another
         for _, (a, kind, b) in accepted:
-            if all(b <= x or a >= y for x, y in covered):
-                covered.append((a, b))
+            k = bisect.bisect_left(covered, (b, b))  # those that start before this one ends
+            if k == 0 or covered[k - 1][1] <= a:
+                covered.insert(k, (a, b))
                 spans.append((a, kind, b))
     order = {k: i for i, k in enumerate((*KINDS, *ADDED))}
     return sorted(spans, key=lambda s: (s[0], order[s[1]]))
