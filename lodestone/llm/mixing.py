@@ -2,18 +2,19 @@
 
 A labelled table gives some documents a domain. A naive Bayes classifier over the TERMS most telling words (and how varied
 a text's words are) predicts every document's posterior over the domains, which is its soft membership. Document rates
-x >= 0, how often each document is to be taken, are fitted by damped Newton steps in the dual to the least-squares problem
+x >= 0, how often each document is to be taken, are fitted by projected gradient steps to the least-squares problem
 
     minimise  sum_d (S_d - T_d)^2 / (2 T^2 s_d)  +  ridge / 2 * sum_i (t_i / T) (x_i - 1)^2,   S_d = sum_i x_i t_i p_id,
 
 with t_i a document's tokens, p_id its posterior, T all tokens, T_d the target share of d times T, and s_d its share as it
-is. The rates are max(0, 1 + p l) for one vector l of D numbers. A step solves the D x D curvature that the domains' sums have
-over documents with a positive rate, and moves l; it is halved until the error falls. This is not projected gradient on the
-rates, whose clipped rates would forget their negative part; the optimum is the same.
+is. In the measure of tokens the gradient at document i is g_i = sum_d p_id e_d / s_d + ridge (x_i - 1), with the relative
+error e_d = (S_d - T_d) / T, and a step is x_i <- max(0, x_i - g_i / (1 + ridge)). Posteriors add up to one, so no eigenvalue
+of the curvature is above 1 + ridge: the step needs no search and the error never grows.
 
-Posteriors are rounded to hundredths, so that one under 0.005 counts as 0; the last domain takes what rounding leaves. Equal
-ones have equal rates, so documents are first added up by posterior: the steps run over a table of at most C(99 + D, D - 1)
-rows for D domains, whatever the size of the corpus. All of it is DataFrame operations; the driver gets the terms' weights and, each step, D sums and their D x D curvature.
+A step is one distributed sum over documents, of which the driver gets D numbers; the rate of a document follows from its
+posterior and the errors of the steps before, so no rates are written between steps. Documents with exactly the same
+posterior have the same rate at every step, so they are added up first; the table of these is never larger than that of the
+documents. All of it is DataFrame operations.
 
 A document is taken floor(rate) times, and once more if a hash of its id falls under the rest.
 
@@ -31,11 +32,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Stages, broadcast_if_small
+from lodestone.llm.common import Stages
 
 #: Labelled documents that the classifier is fitted to, at most: those with the least hash of their id.
 SAMPLE = 6000
-TERMS = 400
+TERMS = 1000
 #: A term tells of a domain if its count there is so many squared deviations from the expected; counts are shrunk so far.
 SURPRISE, SHRINK = 10.0, 5.0
 #: The absence of all terms of a domain counts for so much at most.
@@ -43,7 +44,8 @@ ABSENT = -3.5
 #: What stands between words.
 BREAKS = r"""[\s.,;:!?"()]+"""
 STEPS, RIDGE = 60, 1e-3
-TOLERANCE = 1e-4
+#: Steps end when none changes a domain's tokens by so much of its target.
+TOLERANCE = 1e-3
 
 
 def with_terms(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -97,70 +99,46 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], stages:
 
 
 def posteriors(docs: DataFrame, prior: list[float], weights: list[tuple[str, list[float]]], *, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """id, tokens, the posterior over the domains in hundredths, p0, p1, ..., and columns to keep under keep_<name>."""
+    """id, tokens, the posterior over the domains, p0, p1, ..., and columns to keep under keep_<name>."""
     held = [f"keep_{c}" for c in keep]
     start = F.array(*(F.lit(float(p)) for p in prior))
     known = with_terms(docs, id_col, text_col, *(docs[c].alias(f"keep_{c}") for c in keep))
     if weights:
         listed = F.array(*(F.lit(t) for t, _ in weights))
         of = F.map_from_arrays(listed, F.array(*(F.array(*(F.lit(float(x)) for x in w)) for _, w in weights)))
-        known = known.withColumn("terms", F.array_intersect("terms", listed))
+        # In one order, so that equal sets of terms have the same sums to the last bit.
+        known = known.withColumn("terms", F.array_sort(F.array_intersect("terms", listed)))
         logs = F.aggregate(F.transform("terms", lambda t: F.element_at(of, t)), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
     else:
         logs = start
     known = known.select("id", "tokens", logs.alias("logs"), *held)
     known = known.select("id", "tokens", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("odds"), *held)
     total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
-    # The last takes what rounding leaves, so that the hundredths add up to one.
-    known = known.select("id", "tokens", *(F.round(F.element_at("odds", k + 1) / total, 2).alias(f"p{k}") for k in range(len(prior) - 1)), *held)
-    others = sum((F.col(f"p{k}") for k in range(len(prior) - 1)), F.lit(0.0))
-    return known.select("*", F.greatest(F.lit(0.0), F.round(F.lit(1.0) - others, 2)).alias(f"p{len(prior) - 1}"))
+    return known.select("id", "tokens", *((F.element_at("odds", k + 1) / total).alias(f"p{k}") for k in range(len(prior))), *held)
 
 
-def fit_rates(cells: DataFrame, n: int, targets: list[float], *, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """cells (tokens, p0, ...) with a column rate, fitted by damped Newton steps in the dual.
-
-    All rates start at 1 and are max(0, 1 + p l) for one vector l, which the steps move; it is all that a step needs to know
-    of those before. The gradient is then p (e / s + ridge l), with e
-    the relative error of each domain.
-    """
+def fit_rates(cells: DataFrame, n: int, targets: list[float], *, steps: int = STEPS, ridge: float = RIDGE) -> Column:
+    """The rate of a row of p0, p1, ...: projected gradient steps over cells (tokens, p0, ...), which all start at 1."""
     names = [f"p{k}" for k in range(n)]
-    pairs = [(j, k) for j in range(n) for k in range(j, n)]
-
-    def rate(l: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), sum((F.col(c) * float(x) for c, x in zip(names, l, strict=True)), F.lit(1.0)))
 
-    def look(l: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """All tokens, the share of each domain at these rates, and the curvature over cells that aren't at the bound."""
-        rated = cells.withColumn("rate", rate(l))
-        free = F.col("tokens") * (F.col("rate") > 0).cast("int")
-        row = rated.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("rate") * F.col("tokens") * F.col(c)) for c in names), *(F.sum(free * F.col(names[j]) * F.col(names[k])) for j, k in pairs)).first()
+    def look(rate: Column) -> tuple[float, np.ndarray]:
+        """All tokens, and the share of each domain at these rates."""
+        row = cells.select("tokens", *names, rate.alias("rate")).agg(F.sum("tokens"), *(F.sum(F.col("rate") * F.col("tokens") * F.col(c)) for c in names)).first()
         total = float(row[0] or 0)
-        values = np.array([float(x or 0) for x in row[1:]]) / (total or 1.0)
-        curve = np.zeros((n, n))
-        for (j, k), x in zip(pairs, values[n:], strict=True):
-            curve[j, k] = curve[k, j] = x
-        return total, values[:n], curve
-
-    l, wanted = np.zeros(n), np.array(targets)
-    total, share, curve = look(l)
+        return total, np.array([float(x or 0) for x in row[1:]]) / (total or 1.0)
+
+    rate, wanted = F.lit(1.0), np.array(targets)
+    total, share = look(rate)
     scale = np.maximum(share, 1e-9)
-    slope = share - wanted + ridge * scale * l
     for _ in range(steps if total else 0):
-        if np.abs(slope[share > 0] / np.maximum(wanted[share > 0], 1e-9)).max(initial=0.0) < TOLERANCE:
-            break
-        move = -np.linalg.lstsq(curve + np.diag(ridge * scale), slope, rcond=None)[0]
-        length = 1.0
-        while True:
-            _, now, next_curve = look(l + length * move)
-            after = now - wanted + ridge * scale * (l + length * move)
-            if (after**2 / scale).sum() < (slope**2 / scale).sum() or length < 1e-3:
-                break
-            length /= 2
-        if length < 1e-3:
+        push = (share - wanted) / scale
+        slope = sum((F.col(c) * float(x) for c, x in zip(names, push, strict=True)), F.lit(-ridge))
+        # x - (slope + ridge x) / (1 + ridge)
+        rate = F.greatest(F.lit(0.0), (rate - slope) * (1 / (1 + ridge)))
+        before, (_, share) = share, look(rate)
+        if np.abs((share - before) / np.maximum(wanted, 1e-9)).max() < TOLERANCE:
             break
-        l, share, curve, slope = l + length * move, now, next_curve, after
-    return cells.withColumn("rate", rate(l))
+    return rate
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_terms: int = TERMS, keep: list[str] | None = None) -> DataFrame:
@@ -174,9 +152,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_c
     prior, weights = classifier(docs.select(id_col, text_col), labelled, domains, stages, id_col=id_col, text_col=text_col, sample=sample, n_terms=n_terms)
     names = [f"p{k}" for k in range(len(domains))]
     members = stages.write(posteriors(docs, prior, weights, id_col=id_col, text_col=text_col, keep=keep or []), "members")
-    cells = stages.write(members.groupBy(*names).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
-    rates = stages.write(fit_rates(cells, len(domains), [targets[d] / whole for d in domains]).select(*names, "rate"), "rates")
-    taken = members.join(broadcast_if_small(rates, rates.count(), 16 * (len(domains) + 1)), names)
+    cells = stages.write(members.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
+    rated = members.withColumn("rate", fit_rates(cells, len(domains), [targets[d] / whole for d in domains]))
     draw = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
-    return taken.select(F.col("id").alias(id_col), "tokens", *(F.col(p).alias(f"p_{d}") for p, d in zip(names, domains, strict=True)), "rate", copies.cast("int").alias("copies"), *(F.col(f"keep_{c}").alias(c) for c in keep or []))
+    return rated.select(F.col("id").alias(id_col), "tokens", *(F.col(p).alias(f"p_{d}") for p, d in zip(names, domains, strict=True)), "rate", copies.cast("int").alias("copies"), *(F.col(f"keep_{c}").alias(c) for c in keep or []))
