@@ -9,11 +9,12 @@ Planning works on that histogram, on the driver, many equal bins at a time:
 2. Best fit: what remains goes, longest first, where the least room is left.
 
 The plan is a list of patterns, each with a number of equal sequences. Pieces take their places by their rank among the
-pieces of their length, which Spark counts in cells of about CELL rows, so that a length that a third of all rows have is
-spread over many tasks. No step sees more than a histogram, a cell or a Python batch.
+pieces of their length, which Spark counts in cells of about CELL rows (CELLS cells a length at most), dealt by a number that
+each written row has, so that a length that a third of all rows have is spread over many tasks, whatever its ids. No step
+sees more than a histogram, the counts of a length's cells, a cell or a Python batch.
 
 Defined results: a null text counts as empty; an empty text is one piece with the end id alone; repeated rows are packed
-one by one; an empty table gives no rows.
+one by one, rows with a null id too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from lodestone.session import ship
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked in one task, about.
-CELL = 1000
+CELL, CELLS = 1000, 4096
 #: Words whose ids a worker keeps: the first ones, which most texts share. It starts anew when they are of little use.
 CACHE_WORDS = 300_000
 
@@ -289,22 +290,27 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+def numbered(cut: DataFrame, stages: Stages) -> DataFrame:
+    """The pieces as a written table, each with a number of its own, row."""
+    return stages.write(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+
+
 def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. cut is read several times and must be the same each time: a written table."""
+    """The pieces with sequence_id and offset. cut is read several times: a table from `numbered`."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     places = slots(plan(histogram, capacity))
-    counts = spark.createDataFrame([(k, -(-n // CELL)) for k, n in histogram.items()], "length long, cells long")
+    counts = spark.createDataFrame([(k, min(CELLS, -(-n // CELL))) for k, n in histogram.items()], "length long, cells long")
     placed = spark.createDataFrame(places, "length long, first long, end long, each long, sequence long, base long")
-    salted = cut.join(F.broadcast(counts), "length").withColumn("cell", F.pmod(F.xxhash64("id", "piece"), F.col("cells"))).drop("cells")
+    salted = cut.join(F.broadcast(counts), "length").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells"))).drop("cells")
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = salted.groupBy("length", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("id", "piece")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("row")) - 1)
     ranked = ranked.join(cells, ["length", "cell"]).withColumn("rank", F.col("rank") + F.col("before")).drop("cell", "before")
     inside = (ranked["length"] == placed["length"]) & (ranked["rank"] >= placed["first"]) & (ranked["rank"] < placed["end"])
     index = F.col("rank") - F.col("first")
     return ranked.join(broadcast_if_small(placed, len(places), 48), inside).select(
-        *(ranked[c] for c in cut.columns),
+        *(ranked[c] for c in cut.columns if c != "row"),
         (F.col("sequence") + F.floor(index / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("base") + (index % F.col("each")) * placed["length"]).cast("long").alias("offset"),
     )
@@ -312,8 +318,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with their places: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
-    stages = Stages(docs.sparkSession)
-    cut = stages.write(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), "pieces")
+    cut = numbered(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), Stages(docs.sparkSession))
     return pack(cut, capacity=capacity).withColumnRenamed("id", id_col)
 
 
