@@ -5,10 +5,12 @@ case, other ASCII characters taken as one separator). A model's margin is then a
 positions, so that scoring is two table look-ups a byte and model, over the whole text.
 
 The models are linear hinge-loss models fitted by dual coordinate descent to at most SAMPLE rows a language, those whose
-id's hash falls under a bound set by the language's count; features of the sample are computed on the executors.
+id's hash falls under a bound set by the language's count; features of the sample are computed on the executors. Of the
+values of the language column the LANGUAGES most frequent are learnt (of equally frequent ones the least), so that a column
+full of misspellings stays a bounded sample, and the models of all pairs of them take at most 260 MB.
 
-Defined results: und with score 0 for null texts and texts without a letter, and when nothing could be learnt; repeated
-rows each get their row.
+Defined results: und with score 0 for null texts and texts without a letter, and when nothing could be learnt; of families
+and languages that a text fits equally well the first by name is taken; repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from lodestone.session import ship
 
 #: Rows a language that the models are fitted to, about.
 SAMPLE = 500
+#: Languages that are learnt, at most.
+LANGUAGES = 32
 DIMS = 1 << 17
 #: Language codes by family. A language of no listed family is a family of its own.
 FAMILIES = {
@@ -110,7 +114,7 @@ class Model:
                 three[head] = (code >> np.uint32(16)).astype(np.int64) + 65536
             size = np.diff(at)[full]
             for k, (weights, _) in enumerate(models):
-                margins[k, i + full] = np.add.reduceat(weights[two] + weights[three], at[full]) * SCALE / size
+                margins[k, i + full] = np.add.reduceat(weights[two] + weights[three], at[full], dtype=np.float64) * SCALE / size
         for k, (_, bias) in enumerate(models):
             margins[k] += bias
         for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
@@ -153,20 +157,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], *, cost: fl
     if len(model.families) > 1:
         for name in model.families:
             weights, bias = linear.svm(data, np.where(of == name, 1.0, -1.0), DIMS, cost=cost)
-            model.outer.append((weights, bias))
+            model.outer.append((weights.astype(np.float32), bias))
     for name in model.families:
         model.members[name] = sorted(set(langs[of == name]))
         for x, y in combinations(model.members[name], 2):
             which = np.flatnonzero((langs == x) | (langs == y))
-            model.inner[x, y] = linear.svm(data.take(which), np.where(langs[which] == x, 1.0, -1.0), DIMS, cost=cost)
+            weights, bias = linear.svm(data.take(which), np.where(langs[which] == x, 1.0, -1.0), DIMS, cost=cost)
+            model.inner[x, y] = weights.astype(np.float32), bias
     return model
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits the models to about sample rows of each language; rows without language, text or id are left out."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """Fits the models to about sample rows of each of the most frequent languages; rows without language, text or id are left out."""
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("id is not null and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return Model()
     whole = 1 << 30
