@@ -32,6 +32,7 @@ def span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         *(F.size(of_kinds("spans", (k,))).cast("long").alias(f"n_{k}") for k in kinds),
         F.sha2(listed(of_kinds("spans", kinds)).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -108,9 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_multi_index_hashing": """
-with bits as (select vec_id, list_transform(list_slice(embedding, 1, 64), lambda x: case when x > 0 then '1' else '0' end) as b from embeddings),
+with bits as (select vec_id, list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end) as b from embeddings),
 codes as (select vec_id, cast(array_to_string(b, '') as bit) as code from bits),
-pairs as (select q.vec_id as query_id, r.vec_id as neighbor_id, cast(bit_count(xor(q.code, r.code)) as bigint) as distance from codes q join codes r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id),
+pairs as (select q.vec_id as query_id, r.vec_id as neighbor_id, cast(bit_count(xor(q.code, r.code)) as bigint) as distance from codes q join codes r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id and bit_length(q.code) = bit_length(r.code)),
 ranked as (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from pairs)
 select query_id, rank, neighbor_id, distance from ranked where rank <= 10
 """,

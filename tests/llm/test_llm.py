@@ -360,6 +360,34 @@ def test_no_generator_fits_what_the_prefilter_leaves_out(spark):
     assert got == want
 
 
+def test_scan_is_the_spans_of_each_text_on_random_texts(spark):
+    """The prefilter hides nothing, whatever else a text holds."""
+    rng = random.Random(21)
+    parts = ("anna", "web", "de", " at ", " (at) ", "[AT]", "(a)", "{at}", "@", ".", " dot ", "[dot]", "(punkt)", " (Punkt) ", ":", "dead", "beef", "a", "1", "+49", "(555) ", "123-4567", "4111", " ", "-", "/", "DE12", "iban ", "call ", "mail ", "\n", "é", "und")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    model, bounds = pii.trained()
+    got = {r["id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: pii.text_spans(t, model, bounds) for i, t in enumerate(texts)}
+
+
+def test_accepted_spans_never_overlap_and_the_likeliest_stays():
+    model, bounds = pii.trained()
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join(rng.choice(("call (555) 123-4567", "tel 030/123456", "4111/1111/1111/1111", "iban DE12 1234 5678 1234 5678 12", "b.x (at) foo dot com", "and", "12")) for _ in range(20))
+        added = [s for s in pii.text_spans(text, model, bounds) if s[1] in pii.ADDED]
+        assert all(x[2] <= y[0] for x, y in zip(added, added[1:]))
+
+
+def test_many_spans_in_one_text():
+    import time
+
+    text = "call (555) 123-4567 now, " * 50_000
+    begun = time.process_time()
+    found = pii.text_spans(text, *pii.trained())
+    assert len(found) == 50_000 and time.process_time() - begun < 30
+
+
 # --- op5 ---
 
 
@@ -532,16 +560,41 @@ def plain_rates(tokens, p, targets, steps=20000, ridge=mixing.RIDGE):
 
 def test_rates_meet_the_targets(spark):
     rng = np.random.default_rng(3)
-    p = np.round(rng.dirichlet((0.3, 0.3, 0.3), 200), 2)
-    p[:, 2] = 1 - p[:, 0] - p[:, 1]
+    p = rng.dirichlet((0.3, 0.3, 0.3), 200)
     tokens = rng.integers(1, 500, 200).astype(float)
     cells = spark.createDataFrame([(float(t), *map(float, q)) for t, q in zip(tokens, p)], "tokens double, p0 double, p1 double, p2 double")
-    targets = [0.5, 0.3, 0.2]
-    got = mixing.fit_rates(cells, 3, targets).toPandas()
-    sums = [(got.rate * got.tokens * got[f"p{k}"]).sum() / tokens.sum() for k in range(3)]
-    assert np.allclose(sums, targets, atol=2e-3) and (got.rate >= 0).all()
-    want = plain_rates(tokens, p, np.array(targets))
-    assert np.allclose(sorted(got.rate), sorted(want), atol=0.05)
+    for targets, steps in (([0.5, 0.3, 0.2], 5), ([0.9, 0.05, 0.05], 60), ([0.0, 0.5, 0.5], 60)):
+        got = cells.withColumn("rate", mixing.fit_rates(cells, 3, targets, steps=steps)).toPandas()
+        sums = [(got.rate * got.tokens * got[f"p{k}"]).sum() / tokens.sum() for k in range(3)]
+        assert (got.rate >= 0).all()
+        if steps > 5:
+            assert np.allclose(sums, targets, atol=0.02)
+        x, total = np.ones(len(tokens)), tokens.sum()
+        share = (tokens @ p) / total
+        same = []
+        for _ in range(60):  # the steps of documents, said plainly
+            error = (tokens * x) @ p / total - targets
+            x = np.maximum(0, x - (p @ (error / share) + mixing.RIDGE * (x - 1)) / (1 + mixing.RIDGE))
+            same.append(np.allclose(got.rate, x, atol=1e-6))
+        assert any(same)
+    want = plain_rates(tokens, p, np.array([0.5, 0.3, 0.2]))
+    got = cells.withColumn("rate", mixing.fit_rates(cells, 3, [0.5, 0.3, 0.2])).toPandas()
+    assert np.allclose(got.rate, want, atol=0.1)
+
+
+def test_posteriors_of_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = queries.domain_labels(spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).where("domain is not null")
+    rest = labels.where(common.fold("doc_id") != 0)
+    domains = ["clean", "low", "toxic"]
+    prior, weights = mixing.classifier(docs, rest, domains, common.Stages(spark), id_col="doc_id", text_col="text", sample=mixing.SAMPLE, n_terms=mixing.TERMS)
+    held = labels.where(common.fold("doc_id") == 0)
+    p = mixing.posteriors(docs.join(held.select("doc_id"), "doc_id", "left_semi"), prior, weights, id_col="doc_id", text_col="text", keep=[]).withColumnRenamed("id", "doc_id").join(held, "doc_id").toPandas()
+    of = p[["p0", "p1", "p2"]].to_numpy()
+    assert np.allclose(of.sum(axis=1), 1)
+    assert (np.array(domains)[of.argmax(axis=1)] == p.domain).mean() > 0.9
+    for k, d in enumerate(domains):  # what a domain is thought to hold is near to what it holds
+        assert abs(of[:, k].mean() - (p.domain == d).mean()) < 0.05
 
 
 def test_mix_of_the_documents(spark):
@@ -581,8 +634,27 @@ def test_few_rows(spark):
 
 
 def test_sign_codes(spark):
-    df = spark.createDataFrame([([1.0, -1.0, 2.0] + [0.0] * 60 + [3.0],), (None,), ([float("nan")] * 64,)], "v array<float>")
-    assert [r[0] for r in df.select(topk.sign_code(F.col("v"))).collect()] == [5 - 2**63, None, None]
+    df = spark.createDataFrame([([1.0, -1.0, 2.0] + [0.0] * 60 + [3.0],), (None,), ([float("nan")] * 64,), ([1.0] * 66,), ([],)], "v array<float>")
+    assert [r[0] for r in df.select(topk.sign_code(F.col("v"))).collect()] == [[5 - 2**63], None, None, [-1, 3], None]
+
+
+def test_top_k_of_wide_codes_is_exact(spark):
+    """Codes of three words near to one another, others of one word, repeated ids and clashing columns."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(-(2**63), 2**63 - 1, (6, 3))
+    codes = [base[i % 6] ^ np.array([1 << int(b) if b < 63 else 0 for b in rng.integers(0, 80, 3)]) for i in range(240)]
+    rows = [(i, [int(w) for w in c]) for i, c in enumerate(codes)] + [(500 + i, [int(i)]) for i in range(20)] + [(7, [2**62, 0, 0]), (900, [1, None]), (901, [])]
+    df = spark.createDataFrame(rows, "id long, code array<long>").withColumn("segment", F.lit("x")).withColumn("first", F.lit(1)).withColumn("n", F.lit(0))
+    got = topk.top_k(df, df.where("id % 9 = 0 or id = 7"), 5).toPandas()
+    once = {}
+    for i, c in rows:
+        if c and None not in c:
+            once[i] = min(once.get(i, c), c)
+    for q in [i for i in once if i % 9 == 0 or i == 7]:
+        want = sorted((sum((a ^ b).bit_count() if (a ^ b) >= 0 else ((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(once[q], c)), i) for i, c in once.items() if i != q and len(c) == len(once[q]))[:5]
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(zip(own.distance, own.neighbor_id)) == want and own["rank"].tolist() == list(range(1, len(want) + 1))
+    assert set(got.query_id) == {i for i in once if i % 9 == 0 or i == 7}
 
 
 # --- oracles, odd and empty tables ---
