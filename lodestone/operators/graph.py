@@ -1,22 +1,24 @@
 """Traversal of the call graph as iterated joins.
 
-A step is frontier ⋈ edges, without what was seen. Bounded walks of a few steps are one plan; unbounded ones write each
-frontier to the shared folder, which cuts the lineage, and end when it is empty. Results have an order of their own
-(shortest distance, least id), where a walk in memory would depend on the order of its queue.
+A step is frontier ⋈ edges, without what was seen. The distinct links are written once and each frontier when it is made,
+to the shared folder: the lineage is cut, the planner knows true sizes, and a walk ends when its frontier is empty. Results
+have an order of their own (shortest distance, least id), where a walk in memory would depend on the order of its queue.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.predicates import dir_of
-from lodestone.session import Stages
+from lodestone.session import Stages, ship
 
-#: Walks up to this depth are one plan.
-LAZY = 4
-#: Steps of a longer walk between writes.
-AT_ONCE = 3
+#: Links whose cycles one task looks for.
+SMALL = 500_000
 
 
 def adjacency(edges: DataFrame, direction: str = "down", kind: str | None = "calls") -> DataFrame:
@@ -26,37 +28,29 @@ def adjacency(edges: DataFrame, direction: str = "down", kind: str | None = "cal
     return found.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None, kind: str | None = "calls") -> DataFrame:
-    """All that seeds (id, and root where roots are kept apart) reach: those columns and depth, the least number of steps, 0 for seeds."""
+def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None, kind: str | None = "calls", *, until: str | None = None, via: bool = False) -> DataFrame:
+    """All that seeds (id, and root where roots are kept apart) reach: those columns and depth, the least number of steps, 0 for seeds.
+
+    With via, a column of the least id one step nearer, null for seeds. The walk ends at the step that meets the id until.
+    """
     keys = [c for c in ("root", "id") if c in seeds.columns]
-    next_ = adjacency(edges, direction, kind)
     stages = Stages(edges.sparkSession)
-    staged = max_depth is None or max_depth > LAZY
-    if staged:
-        next_ = stages.write(next_, "edges")
-    frontier = seeds.select(*keys).distinct()
-    seen = frontier.withColumn("depth", F.lit(0).cast("long"))
-    if staged:
-        seen = stages.write(seen, "seen-0")
-        frontier = seen.drop("depth")
-    parts, depth = [seen], 0
+    next_ = stages.write(adjacency(edges, direction, kind), "edges")
+    first = seeds.select(*keys).distinct().withColumn("depth", F.lit(0).cast("long"))
+    frontier = stages.write(first.withColumn("via", F.lit(None).cast("string")) if via else first, "seen-0")
+    parts, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
-        fresh: list[DataFrame] = []
-        while len(fresh) < AT_ONCE and (max_depth is None or depth < max_depth):
-            depth += 1
-            known = _union([*parts, *fresh]).select(*keys)
-            new = frontier.join(next_, F.col("id") == F.col("from")).select(*keys[:-1], F.col("to").alias("id")).distinct().join(known, keys, "left_anti")
-            fresh.append(new.select(*keys).withColumn("depth", F.lit(depth).cast("long")))
-            frontier = fresh[-1].drop("depth")
-        if not staged:
-            parts += fresh
-            continue
-        written = stages.write(_union(fresh), f"new-{depth}")
-        parts.append(written)
-        last = written.where(F.col("depth") == depth)
-        if last.isEmpty():
+        depth += 1
+        known = _union(parts).select(*keys)
+        step = frontier.select(*keys).join(next_, F.col("id") == F.col("from")).select(*keys[:-1], F.col("to").alias("id"), F.col("from").alias("via"))
+        step = step.groupBy(*keys).agg(F.min("via").alias("via")) if via else step.drop("via").distinct()
+        new = step.join(known, keys, "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        frontier = stages.write(new.select(*parts[0].columns), f"new-{depth}")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        if until is not None and not frontier.where(F.col("id") == until).isEmpty():
             break
-        frontier = last.drop("depth")
         if len(parts) == 8:  # few files to read, whatever the depth
             parts = [stages.write(_union(parts), f"seen-{depth}")]
     return _union(parts)
@@ -74,8 +68,9 @@ def level(depth="depth"):
 
 
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """id, depth and level of all that call the roots (id), directly or not; the least depth where several roots are reached."""
-    return reach(edges, roots.select("id"), "up", max_depth).where("depth > 0").withColumn("level", level())
+    """id, depth and level of all that call the roots (id), directly or not; the least depth where several roots are reached.
+    A depth of 0 or less stands for 3."""
+    return reach(edges, roots.select("id"), "up", max_depth if max_depth > 0 else 3).where("depth > 0").withColumn("level", level())
 
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -83,19 +78,22 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     spark = edges.sparkSession
     if start == end:
         return spark.range(1).select(F.array(F.lit(start)).alias("path"))
-    walked = reach(edges, spark.range(1).select(F.lit(start).alias("id")), "down")
     stages = Stages(spark)
-    walked = stages.write(walked, "walked")
+    walked = reach(edges, spark.range(1).select(F.lit(start).alias("id")), "down", until=end, via=True)
     goal = walked.where(F.col("id") == end).select("depth").first()
     if goal is None:
         return spark.createDataFrame([], "path array<string>")
-    up = adjacency(edges, "up")
-    path = walked.where(F.col("id") == end).select("id", F.array("id").alias("path"))
-    for d in range(goal["depth"] - 1, -1, -1):
-        before = walked.where(F.col("depth") == d).select(F.col("id").alias("to"))
-        back = path.join(up, F.col("id") == F.col("from")).join(before, "to")
-        path = back.groupBy("path").agg(F.min("to").alias("id")).select("id", F.concat(F.array("id"), "path").alias("path"))
-    return path.select("path")
+    # Back over the least predecessors, by doubling: jump leads 1, 2, 4, ... steps back.
+    jump = stages.write(walked.where("via is not null").select("id", "via"), "jump-1")
+    path, step = spark.range(1).select(F.lit(end).alias("id"), F.lit(0).cast("long").alias("back")), 1
+    while True:
+        path = path.unionByName(path.join(jump, "id").select(F.col("via").alias("id"), (F.col("back") + step).alias("back")))
+        step *= 2
+        if step > goal["depth"]:
+            break
+        path = stages.write(path, f"path-{step}")
+        jump = stages.write(jump.join(jump.select(F.col("id").alias("via"), F.col("via").alias("far")), "via").select("id", F.col("far").alias("via")), f"jump-{step}")
+    return path.agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "id"))).alias("steps")).select(F.transform("steps", lambda s: s["id"]).alias("path"))
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
@@ -112,14 +110,19 @@ def lifted(edges: DataFrame, kind: str, by: str = "file") -> DataFrame:
     return found.where("source != target").distinct()
 
 
-def _spread(marks: DataFrame, links: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """marks (id, mark) with each id's least mark among those of all that reach it over links (source, target)."""
-    now, turn = stages.write(marks, f"{name}-0"), 0
+def _spread(links: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """id and mark, the least id of all that reach it over links (source, target) and itself, for all ends of links.
+
+    A mark may be exchanged for its own mark, as what reaches a node's mark reaches the node: on a chain marks go twice as far
+    with every turn.
+    """
+    ids = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
+    now, turn = stages.write(ids.withColumn("mark", F.col("id")), f"{name}-0"), 0
     while True:
-        sent = now.join(links, now["id"] == links["source"]).select(F.col("target").alias("id"), "mark")
-        better = now.unionByName(sent).groupBy("id").agg(F.min("mark").alias("mark"))
+        shorter = now.join(now.select(F.col("id").alias("mark"), F.col("mark").alias("further")), "mark").select("id", F.col("further").alias("mark")) if turn else now
+        sent = shorter.join(links, shorter["id"] == links["source"]).select(F.col("target").alias("id"), "mark")
         turn += 1
-        after = stages.write(better, f"{name}-{turn}")
+        after = stages.write(shorter.unionByName(sent).groupBy("id").agg(F.min("mark").alias("mark")), f"{name}-{turn}")
         changed = not after.join(now, ["id", "mark"], "left_anti").isEmpty()
         stages.drop(f"{name}-{turn - 1}")
         now = after
@@ -127,45 +130,82 @@ def _spread(marks: DataFrame, links: DataFrame, stages: Stages, name: str) -> Da
             return now
 
 
-def _inner(links: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """links without those of ids that have no predecessor or no successor, until all have both."""
-    n, turn = links.count(), 0
-    while n:
-        heads, tails = links.select(F.col("target").alias("source")).distinct(), links.select(F.col("source").alias("target")).distinct()
-        turn += 1
-        links = stages.write(links.join(heads, "source", "left_semi").join(tails, "target", "left_semi").select("source", "target"), f"{name}-{turn}")
-        n, before = links.count(), n
-        if n == before:
-            break
-    return links
+def _strong(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """A number for each of n nodes, the same for those that reach each other: depth first, with the open nodes on a stack."""
+    order = np.argsort(source, kind="stable")
+    ahead, at = target[order].tolist(), np.searchsorted(source[order], np.arange(n + 1)).tolist()
+    met, low, part, stack, clock = [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        walk = [root] if not met[root] else []
+        place = {}
+        while walk:
+            v = walk[-1]
+            if v not in place:
+                clock += 1
+                met[v] = low[v] = clock
+                stack.append(v)
+                place[v] = at[v]
+            while place[v] < at[v + 1] and met[ahead[place[v]]]:
+                w = ahead[place[v]]
+                if part[w] < 0:
+                    low[v] = min(low[v], low[w])
+                place[v] += 1
+            if place[v] < at[v + 1]:
+                walk.append(ahead[place[v]])
+                continue
+            walk.pop()
+            if low[v] == met[v]:
+                while part[v] < 0:
+                    part[stack.pop()] = v
+    return np.array(part, np.int64)
+
+
+def _cyclic_at_once(links: DataFrame) -> DataFrame:
+    """As cyclic, in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if not parts:
+            return
+        ends = pd.concat(parts)
+        ids, both = np.unique(np.concatenate([ends["source"].to_numpy(object), ends["target"].to_numpy(object)]), return_inverse=True)
+        number = _strong(both[: len(ends)], both[len(ends) :], len(ids))
+        least = np.full(len(ids), len(ids))
+        np.minimum.at(least, number, np.arange(len(ids)))
+        several = np.bincount(number, minlength=len(ids))[number] > 1
+        yield pd.DataFrame({"id": ids[several], "component": ids[least[number[several]]]})
+
+    ship(links.sparkSession)
+    return links.coalesce(1).mapInPandas(run, "id string, component string")
 
 
 def cyclic(links: DataFrame) -> DataFrame:
     """id and component (its least id) of all that lie on a cycle of links (source, target).
 
-    What lies on no cycle's way is peeled off. Then every id takes the least id that reaches it as its colour; an id that
-    has its own as colour is a root, and what reaches the root within its colour is the root's component. Components are
-    taken out, for all colours at once, and the rest starts over. Tables are never larger than the links.
+    Up to SMALL links, which are counted, are one task's work. Beyond that each turn finds for every id the least id that reaches it and the least that it reaches. Members of one cycle agree in
+    both, so links whose ends don't are dropped, and the turn is repeated on the rest. When all agree, the least id of each part
+    reaches all of it and is reached by all of it: the parts are the cycles' components. Tables are never larger than the links.
     """
-    stages, turn, found = Stages(links.sparkSession), 0, None
-    links = _inner(stages.write(links.select("source", "target"), "links"), stages, "inner")
-    while not links.isEmpty():
-        ids = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
-        colour = stages.write(_spread(ids.withColumn("mark", F.col("id")), links, stages, f"colour-{turn}"), f"colours-{turn}")
-        end = lambda c: colour.select(F.col("id").alias(c), F.col("mark").alias(f"{c}_mark"))
-        inside = links.join(end("source"), "source").join(end("target"), "target").where("source_mark = target_mark")
-        back = stages.write(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), f"back-{turn}")
-        roots = colour.where("id = mark").select("id")
-        own = stages.write(reach(back, roots, "down", None, kind=None).select("id").join(colour, "id").select("id", F.col("mark").alias("component")), f"own-{turn}")
-        found = own if found is None else found.unionByName(own)
-        gone = own.select("id")
-        rest = links.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+    stages, turn = Stages(links.sparkSession), 0
+    links = stages.write(links.select("source", "target").distinct(), "links-0")
+    n = links.count()
+    if n <= SMALL:
+        return stages.write(_cyclic_at_once(links), "cyclic")
+    while n:
+        back = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        before, behind = _spread(links, stages, f"down-{turn}"), _spread(back, stages, f"up-{turn}")
+        marks = stages.write(before.join(behind.select("id", F.col("mark").alias("ahead")), "id"), f"marks-{turn}")
+        end = lambda c: marks.select(F.col("id").alias(c), F.col("mark").alias(f"{c}_mark"), F.col("ahead").alias(f"{c}_ahead"))
+        same = links.join(end("source"), "source").join(end("target"), "target").where("source_mark = target_mark and source_ahead = target_ahead")
         turn += 1
-        links = _inner(stages.write(rest.select("source", "target"), f"links-{turn}"), stages, f"inner-{turn}")
-    if found is None:
-        return links.select(F.col("source").alias("id"), F.col("source").alias("component"))
-    several = found.groupBy("component").count().where("count > 1").select("component")
-    return found.join(several, "component", "left_semi").select("id", "component")
+        links = stages.write(same.select("source", "target"), f"links-{turn}")
+        left, n = n, links.count()
+        if n == left:
+            break
+        if n <= SMALL:  # what is left is whole: no cycle has lost a link
+            return stages.write(_cyclic_at_once(links), "cyclic")
+    several = marks.groupBy("mark").count().where("count > 1").select("mark")
+    return marks.join(several, "mark", "left_semi").select("id", F.col("mark").alias("component"))
 
 
 def _pairs(links: DataFrame, stages: Stages, name: str) -> DataFrame:
@@ -243,8 +283,8 @@ def call_chains(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth:
     """chain: names along each path that goes no further, joined by arrows; ids where there is no name."""
     paths = call_paths(edges, start, max_depth)
     longer = paths.select(F.slice("path", 1, F.size("path") - 1).alias("path")).distinct()
-    ends = paths.join(longer, "path", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("path"))) if max_paths else paths.join(longer, "path", "left_anti")
-    kept = ends.where(F.col("n") <= max_paths) if max_paths else ends
+    ends = paths.join(longer, "path", "left_anti")
+    kept = ends.orderBy("path").limit(max_paths) if max_paths else ends
     step = kept.select("path", F.posexplode("path").alias("pos", "id")).join(nodes.select("id", "name"), "id", "left")
     named = step.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", "id").alias("name")))).alias("names"))
     return named.select(F.array_join(F.transform("names", lambda s: s["name"]), " → ").alias("chain"))
@@ -272,12 +312,22 @@ def signed_layers(edges: DataFrame, start: DataFrame, max_depth: int = 5) -> Dat
 
 
 def blast_radius(edges: DataFrame, among: DataFrame) -> DataFrame:
-    """id and callers, the number of others that reach it, within the subgraph of among (id)."""
+    """id and callers, the number of others that reach it, within the subgraph of among (id).
+
+    Cycles are one node each, with the number of their members; pairs of nodes are made only between these, and summed.
+    """
     inside = edges.where("kind = 'calls'").join(among.select(F.col("id").alias("source")), "source", "left_semi").join(among.select(F.col("id").alias("target")), "target", "left_semi")
     stages = Stages(edges.sparkSession)
-    pairs = _pairs(inside.where("source != target").select("source", "target"), stages, "walks").where("root != id")
-    counts = pairs.groupBy("id").agg(F.count("*").alias("callers"))
-    return among.select("id").join(counts, "id", "left").select("id", F.coalesce("callers", F.lit(0)).cast("long").alias("callers"))
+    links = stages.write(inside.where("source != target").select("source", "target").distinct(), "links")
+    whole = among.select("id").distinct().join(cyclic(links), "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+    whole = stages.write(whole, "parts")
+    sizes = whole.groupBy("part").agg(F.count("*").alias("size"))
+    end = lambda c: whole.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"))
+    ahead = links.join(end("source"), "source").join(end("target"), "target").where("source_part != target_part")
+    pairs = _pairs(ahead.select(F.col("source_part").alias("source"), F.col("target_part").alias("target")), stages, "walks")
+    before = pairs.join(sizes.select(F.col("part").alias("root"), "size"), "root").groupBy(F.col("id").alias("part")).agg(F.sum("size").alias("before"))
+    counts = sizes.join(before, "part", "left").select("part", (F.col("size") - 1 + F.coalesce("before", F.lit(0))).alias("callers"))
+    return whole.join(counts, "part").select("id", F.col("callers").cast("long").alias("callers"))
 
 
 def flow(edges: DataFrame, root: DataFrame, max_depth: int | None = None) -> DataFrame:
