@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, joins, lookup
-from lodestone.plans.q_lookup import MOST_CALLED, MOST_CALLING, most_called, most_calling
+from lodestone.plans.q_lookup import DIR, MOST_CALLED, MOST_CALLING, most_called, most_calling
 from lodestone.plans.registry import query
 
 UP3 = f"up(id, d) as (select {MOST_CALLED}, 0 union select e.source, d + 1 from up join edges e on e.target = up.id and e.kind = 'calls' where d < 3)"
@@ -57,9 +57,11 @@ def simple_cycles(g):
     return graph.simple_cycles(file_links(g), 3).select(F.array_join("cycle", " > ").alias("cycle"))
 
 
-@query("G04_lifted", "select distinct split_part(source, ':', 1) as source, target from edges where kind = 'imports'")
+@query("G04_lifted", f"with f as (select a.file_path as source, b.file_path as target from edges e join nodes a on a.id = e.source join nodes b on b.id = e.target where e.kind = 'imports') select distinct {DIR.replace('file_path', 'source')} as source, {DIR.replace('file_path', 'target')} as target from f where {DIR.replace('file_path', 'source')} <> {DIR.replace('file_path', 'target')}")
 def lifted(g):
-    return graph.lifted(g.edges, "imports").select(F.substring_index("source", ":", 1).alias("source"), "target").distinct()
+    ids = g.nodes.select("id", "file_path")
+    files = g.edges.join(ids.select(F.col("id").alias("source"), F.col("file_path").alias("a")), "source").join(ids.select(F.col("id").alias("target"), F.col("file_path").alias("b")), "target")
+    return graph.lifted(files.select(F.col("a").alias("source"), F.col("b").alias("target"), "kind"), "imports", "package")
 
 
 @query("G05_neighbourhood", f"""with recursive {UP3.replace('< 3', '< 2')}, {DOWN3.replace('< 3', '< 2').replace(MOST_CALLING, MOST_CALLED)},
@@ -121,13 +123,10 @@ def signed_layers(g):
     return graph.signed_layers(g.edges, most_calling(g))
 
 
-SUB = "sub as (select id from nodes where file_path in (select distinct file_path from nodes order by file_path limit 20))"
-
-
-@query("G13_blast_radius", f"with recursive {SUB}, own as (select distinct source, target from edges where kind = 'calls' and source in (select id from sub) and target in (select id from sub) and source <> target), walk(root, id) as (select source, target from own union select walk.root, own.target from walk join own on own.source = walk.id) select sub.id, count(walk.root) filter (where walk.root <> walk.id) as callers from sub left join walk on walk.id = sub.id group by sub.id")
+#: All pairs of the whole graph are too many for SQL: tests hold the operator against a brute-force version.
+@query("G13_blast_radius")
 def blast_radius(g):
-    few = g.nodes.select("file_path").distinct().orderBy("file_path").limit(20)
-    return graph.blast_radius(g.edges, g.nodes.join(F.broadcast(few), "file_path", "left_semi").select("id"))
+    return graph.blast_radius(g.edges, g.nodes.select("id"))
 
 
 @query("G14_flow", f"with recursive walk(id) as (select {MOST_CALLING} union select e.target from walk join edges e on e.source = walk.id and e.kind = 'calls') select id, source, target from edges where kind = 'calls' and source in (select id from walk)")

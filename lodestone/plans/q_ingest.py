@@ -56,37 +56,41 @@ def changed_files(g):
     return g.commits.join(F.broadcast(last), g.commits["ts"] >= F.col("since")).select("path").distinct()
 
 
-SOURCE = {
-    "svc/a.go": ("go", 'package svc\n\nimport "fmt"\n\n// Run starts it.\nfunc Run(x int) int {\n\tif x > 0 && x < 9 {\n\t\treturn helper(x)\n\t}\n\treturn 0 // helper(1)\n}\n\nfunc helper(x int) int {\n\tfmt.Println("Run(")\n\treturn x\n}\n'),
-    "cmd/main.go": ("go", 'package main\n\nfunc main() {\n\tRun(1)\n}\n'),
-    "lib/m.py": ("python", 'import os\n\nclass Box:\n    """A box."""\n\n    def open(self):\n        return self.peek()\n\n    def peek(self):\n        return os.getcwd()\n\ndef use():\n    b = Box()\n    b.open()\n'),
-}
+#: A file of code for each part: F<k> calls the next part's function, G<k> calls F<k> and itself, and i<k> makes that a route's handler.
+MADE = """select concat('gen/f', p_partkey, '.go') as path, 'go' as language, concat('package gen\n\nimport "fmt"\n\n// F', p_partkey, ' starts it.\nfunc F', p_partkey, '(x int) int {\n\treturn F', p_partkey + 1, '(x) // F', p_partkey, '(2)\n}\n\nfunc g', p_partkey, '() {\n\tfmt.Println("F7(")\n\tF', p_partkey, '(1)\n\tg', p_partkey, '()\n}\n\nfunc i', p_partkey, '() {\n\tr.GET("/a', p_partkey, '", g', p_partkey, ')\n\tr.POST("/b", other)\n}\n') as text from part"""
+FILE = "'gen/f' || p_partkey || '.go'"
 
 
 def sources(g):
-    return g.spark.createDataFrame([(k, t, lang) for k, (lang, t) in SOURCE.items()], "path string, text string, language string")
+    return g.sql(MADE)
 
 
-@query("S05_parse")
+@query("S05_parse", f"""select 'node' as row, {FILE} as path, 'go:' || {FILE} || '::F' || p_partkey as id, 'function' as kind, 'F' || p_partkey as name, 6 as start_line, 8 as end_line, null as source, null as target, null as line from part
+union all select 'node', {FILE}, 'go:' || {FILE} || '::g' || p_partkey, 'function', 'g' || p_partkey, 10, 14, null, null, null from part
+union all select 'node', {FILE}, 'go:' || {FILE} || '::i' || p_partkey, 'function', 'i' || p_partkey, 16, 19, null, null, null from part
+union all select 'contains', {FILE}, null, null, null, null, null, 'file:' || {FILE}, 'go:' || {FILE} || '::' || n, l from part, (values ('F', 6), ('g', 10)) as x(n0, l), (select 1) y, lateral (select n0 || p_partkey as n) z
+union all select 'contains', {FILE}, null, null, null, null, null, 'file:' || {FILE}, 'go:' || {FILE} || '::i' || p_partkey, 16 from part
+union all select 'imports', {FILE}, null, null, null, null, null, 'file:' || {FILE}, 'import:fmt', 3 from part
+union all select 'calls', {FILE}, null, null, null, null, null, 'go:' || {FILE} || '::g' || p_partkey, 'go:' || {FILE} || '::F' || p_partkey, 12 from part
+union all select 'file', {FILE}, null, null, null, null, null, null, null, null from part""")
 def parsed(g):
     return parse.parse_files(sources(g)).select("row", "path", "id", "kind", "name", "start_line", "end_line", "source", "target", "line")
 
 
-@query("J16_cross_file_calls")
+@query("J16_cross_file_calls", f"""select 'go:' || {FILE} || '::F' || p_partkey as source, 'go:gen/f' || (p_partkey + 1) || '.go::F' || (p_partkey + 1) as target, 7 as line from part where p_partkey + 1 in (select p_partkey from part)
+union all select 'go:' || {FILE} || '::g' || p_partkey, 'go:' || {FILE} || '::F' || p_partkey, 12 from part""")
 def cross_file_calls(g):
     return joins.cross_file_calls(sources(g), parse.nodes_of(parse.parse_files(sources(g))))
 
 
-@query("J15_routes", "select 'route:/a' as route, 'go:r.go::list' as handler")
+@query("J15_routes", f"select 'route:/a' || p_partkey as route, 'go:' || {FILE} || '::g' || p_partkey as handler from part")
 def routes(g):
-    src = g.spark.createDataFrame([("r.go", 'r.GET("/a", list)\nr.POST("/b", other)')], "path string, text string")
-    nodes = g.spark.createDataFrame([("go:r.go::list", "function", "list", "r.go")], "id string, kind string, name string, file_path string")
-    return joins.routes(src, nodes)
+    return joins.routes(sources(g), parse.nodes_of(parse.parse_files(sources(g))))
 
 
-@query("S04_scip_nodes", "select 'scip-go x ' || o_orderkey || '/f().' as id, 'f' as name, 'function' as kind, cast(o_orderkey % 50 + 1 as bigint) as start_line from orders where o_orderkey % 3 = 0")
+@query("S04_scip_nodes", "select 'scip-go x ' || o_orderkey || '/f().' as id, 'f' as name, 'function' as kind, cast(o_orderkey % 50 + 1 as bigint) as start_line from orders")
 def scip_nodes(g):
-    occ = g.sql("select concat('d', o_custkey, '/x.go') as relative_path, concat('scip-go x ', o_orderkey, '/f().') as symbol, 1 as symbol_roles, array(cast(o_orderkey % 50 as int), 0, 3) as range, 'go' as language from orders where o_orderkey % 3 = 0")
+    occ = g.sql("select concat('d', o_custkey, '/x.go') as relative_path, concat('scip-go x ', o_orderkey, '/f().') as symbol, 1 as symbol_roles, array(cast(o_orderkey % 50 as int), 0, 3) as range, 'go' as language from orders")
     symbols = g.spark.createDataFrame([], scip.SYMBOLS)
     return scip.definitions(occ, symbols).select("id", "name", "kind", "start_line")
 
@@ -155,9 +159,9 @@ def verdicts(g):
     return mutations.load_verdicts(g.verdicts.select("symbol_id", "decision")).select("symbol_id", "has_active_defect", "stage")
 
 
-@query("K10_external_nodes", "select distinct 'external:' || target as id, 'external' as kind, target as name from edges where id % 7 = 0")
+@query("K10_external_nodes", "select distinct 'external:' || target as id, 'external' as kind, target as name from edges")
 def external_nodes(g):
-    return mutations.external_nodes(g.nodes, g.edges.where("id % 7 = 0").withColumn("target", F.concat(F.lit("external:"), "target")))
+    return mutations.external_nodes(g.nodes, g.edges.withColumn("target", F.concat(F.lit("external:"), "target")))
 
 
 @query("K11_purge", f"with r as ({REPEATED}) select id from (select *, row_number() over (partition by source, target, kind, coalesce(line, 0) order by id) as n from r) where n = 1")
@@ -165,9 +169,10 @@ def purge(g):
     return mutations.purge_duplicates(repeated(g)).select("id")
 
 
-@query("K12_fill_metadata", "select id, '' as metadata from edges")
+@query("K12_fill_metadata", "select id, case provenance when 'scip' then '' when 'tree-sitter' then '' else kind end as metadata from edges")
 def fill_metadata(g):
-    return mutations.fill_metadata(g.edges.withColumn("metadata", F.lit(None).cast("string"))).select("id", "metadata")
+    known = F.when(F.col("provenance") == "scip", "").when(F.col("provenance") == "heuristic", F.col("kind"))
+    return mutations.fill_metadata(g.edges.withColumn("metadata", known)).select("id", "metadata")
 
 
 @query("K16_json", "select count(*) as n from nodes")
