@@ -140,6 +140,16 @@ def read_config(text: str) -> PathFilter:
     return out
 
 
+def write_default_config(path: str) -> bool:
+    """Writes the default filter file where there is none; whether it did."""
+    try:
+        with open(path, "x", encoding="utf-8") as f:
+            f.write(DEFAULT_CONFIG)
+    except FileExistsError:
+        return False
+    return True
+
+
 DEFAULT_CONFIG = """\
 # Paths are relative to the project and use / as the separator.
 index:

@@ -67,9 +67,15 @@ def extension_of(path: Column | str) -> Column:
 
 
 def clean_path(path: Column | str) -> Column:
-    """Trimmed, without leading ./ or /, without empty and . segments; a final slash stays."""
-    p = F.regexp_replace(F.trim(col(path)), r"/(?:\.?/)+", "/")
-    return F.regexp_replace(p, r"^(\./|/)+", "")
+    """Trimmed, / as the separator, without empty and . segments, .. taken out with the segment before it; a final slash stays."""
+    p = F.translate(F.trim(col(path)), "\\", "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = (part == "..") & F.coalesce(F.try_element_at(kept, F.lit(-1)) != "..", F.lit(False))
+        return F.when(part.isin("", "."), kept).when(up, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, part))
+
+    kept = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(kept, "/"), F.when(F.endswith(p, F.lit("/")) & (F.size(kept) > 0), "/").otherwise(""))
 
 
 def by_extension(path: Column | str, pairs: dict[str, str], default: str | None) -> Column:
@@ -142,16 +148,60 @@ def import_text(text: Column | str) -> Column:
     return F.regexp_replace(t, "^[\"'<> ]+|[\"'<> ]+$", "")
 
 
+def content_hash(content: Column | str) -> Column:
+    """SHA-256 of a content's bytes in hexadecimal."""
+    return F.sha2(col(content).cast("binary"), 256)
+
+
+#: Kinds of symbols in an index by what they are here; others are variables.
+INDEX_KINDS = {"interface": "interface", "class": "struct", "struct": "struct", "method": "method", "function": "function", "constructor": "function", "macro": "macro"}
+
+
+def index_kind(kind: Column | str, symbol: Column | str) -> Column:
+    """Kind of an index's symbol by its own kind, or by its descriptor where that is unspecified."""
+    low = F.lower(F.trim(col(kind)))
+    out = F.when(low.isNull() | low.isin("", "unspecified", "unspecifiedkind"), symbol_kind(symbol))
+    for name, is_ in INDEX_KINDS.items():
+        out = out.when(low == name, is_)
+    return out.otherwise("variable")
+
+
+#: Names to show of languages; others are shown as they are.
+LANGUAGE_NAMES = {"go": "Go", "python": "Python", "typescript": "TypeScript", "java": "Java", "c": "C", "cpp": "C++", "cxx": "C++", "http": "HTTP"}
+
+
+def language_name(language: Column | str) -> Column:
+    out = F
+    for code, name in LANGUAGE_NAMES.items():
+        out = out.when(col(language) == code, name)
+    return out.otherwise(col(language))
+
+
+def id_prefix(language: Column | str) -> Column:
+    """Prefix of ids of a language's symbols."""
+    out = F
+    for code, prefix in ID_PREFIXES.items():
+        out = out.when(col(language) == code, prefix)
+    return out.otherwise("unknown")
+
+
 def safe_path_part(part: Column | str) -> Column:
     clean = F.regexp_replace(col(part), "[^A-Za-z0-9._-]", "_")
     return F.when(F.length(clean) == 0, "_").otherwise(clean)
 
 
 def short_hash(text: Column | str) -> Column:
-    """Polynomial hash of base 31 over code points, modulo 1000."""
-    codes = F.transform(F.split(col(text), ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
-    # Kept below 2^53: the remainder of the wrapped 64-bit sum differs for long texts, so it is taken each step.
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % 1000)
+    """Polynomial hash of base 31 over code points, wrapped at 64 bits with a sign, modulo 1000 without one."""
+    codes = F.transform(F.filter(F.split(col(text), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    half, low = F.lit(1 << 32), F.lit((1 << 32) - 1)
+
+    def step(h: Column, c: Column) -> Column:  # in two halves, as a product of 64 bits would overflow
+        right = h["right"] * 31 + c
+        return F.struct(((h["left"] * 31 + F.floor(right / half)) % half).alias("left"), right.bitwiseAND(low).alias("right"))
+
+    start = F.struct(F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"))
+    whole = F.aggregate(codes, start, step, lambda h: F.shiftleft(h["left"], 32).bitwiseOR(h["right"]))
+    return F.abs(whole % 1000)
 
 
 def diagram_id(text: Column | str) -> Column:

@@ -6,7 +6,8 @@ What regular expressions and array functions can say stays in the JVM. Four stat
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,12 +34,32 @@ def snippet(line_rows: DataFrame, at: int, count: int = 120, key: str = "path")
     return read_range(line_rows, start, start + count - 1, key)
 
 
+@cache
+def accents() -> tuple[str, str]:
+    """Letters that are a base letter with marks, and the base letters; behind them the marks themselves, which have none."""
+    composed, base = [], []
+    for i in range(0x80, 0x10000):
+        parts = unicodedata.normalize("NFD", chr(i))
+        if len(parts) > 1 and all(unicodedata.combining(m) for m in parts[1:]):
+            composed.append(chr(i))
+            base.append(parts[0])
+    marks = [chr(i) for i in range(0x300, 0x370) if unicodedata.combining(chr(i))]
+    return "".join(composed + marks), "".join(base)
+
+
 def words(c: Column | str) -> Column:
     """Words of the index: letters and digits in lower case, without accents."""
-    plain = F.translate(F.lower(col(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.translate(F.lower(col(c)), *accents())
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def words_of(term: str) -> list[str]:
+    """The words of a term, as `words` has those of a column."""
+    letters, base = accents()
+    plain = term.lower().translate({ord(a): base[k] if k < len(base) else None for k, a in enumerate(letters)})
+    return re.findall(r"[^\W_]+", plain)
+
+
 def tokens(nodes: DataFrame, columns: tuple[str, ...] = ("id", "name", "qualified_name", "docstring", "signature")) -> DataFrame:
     """node_id, col, pos and token of the indexed columns that there are."""
     parts = [nodes.select(F.col("id").alias("node_id"), F.lit(c).alias("col"), F.posexplode(words(c)).alias("pos", "token")) for c in columns if c in nodes.columns]
@@ -52,7 +73,7 @@ def match(index: DataFrame, terms: list[str]) -> DataFrame:
     for term in terms:
         if re.search(r"[:\"*^]|\b(?:NEAR|NOT|AND)\b", term):
             raise ValueError(f"operators aren't taken in terms: {term}")
-        parts = [w for w in re.split(r"[^\w]+", term.lower()) if w]
+        parts = words_of(term)
         hit = None
         for k, w in enumerate(parts):
             at = index.where(F.col("token") == w).select("node_id", "col", (F.col("pos") - k).alias("start"))
@@ -64,7 +85,7 @@ def match(index: DataFrame, terms: list[str]) -> DataFrame:
 
 def ranked_match(index: DataFrame, terms: list[str], n_nodes: int) -> DataFrame:
     """node_id and score, the sum of tf-idf over the terms' words."""
-    own = index.where(F.col("token").isin([w.lower() for w in terms]))
+    own = index.where(F.col("token").isin([w for term in terms for w in words_of(term)]))
     tf = own.groupBy("node_id", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     return tf.join(F.broadcast(df), "token").groupBy("node_id").agg(F.round(F.sum(F.col("tf") * F.log(F.lit(float(n_nodes)) / F.col("df"))), 6).alias("score"))
@@ -147,9 +168,9 @@ def in_quotes(line: str, at: int) -> bool:
     return bool(quote)
 
 
-def brace_end(text: str, start: int) -> int:
-    """Line (from 1) on which the block that opens at or after a line closes; the line itself if none does."""
-    rows = text.split("\n")
+def brace_end(text: str | list[str], start: int) -> int:
+    """Line (from 1) on which the block that opens at or after a line closes; the line itself if none does. text: whole, or its lines."""
+    rows = text.split("\n") if isinstance(text, str) else text
     depth, opened, quote = 0, False, ""
     for no in range(start - 1, len(rows)):
         line, i = rows[no], 0
@@ -219,6 +240,16 @@ def nesting(c: Column | str) -> Column:
     return run(col(c))
 
 
+def quoted(line: Column | str, at: Column | str) -> Column:
+    """Whether a position (from 0) of a line stands in a string."""
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([in_quotes(x or "", int(a)) for x, a in zip(rows, places, strict=True)], dtype=bool)
+
+    return run(col(line), col(at))
+
+
 def block_end(text: Column | str, start: Column | str) -> Column:
     @F.pandas_udf("long")
     def run(texts: pd.Series, starts: pd.Series) -> pd.Series:
@@ -258,6 +289,14 @@ def dispatch_signals(c: Column | str, most: int = 5) -> Column:
     return F.slice(F.filter(numbered, lambda x: x.isNotNull()), 1, most)
 
 
+def update_tokens(index: DataFrame, changed: DataFrame, gone: DataFrame | None = None, columns: tuple[str, ...] = ("id", "name", "qualified_name", "docstring", "signature")) -> DataFrame:
+    """The index after a change of nodes: rows of changed (nodes) and gone (id) leave it, and those of changed are made anew."""
+    touched = changed.select(F.col("id").alias("node_id"))
+    if gone is not None:
+        touched = touched.unionByName(gone.select(F.col("id").alias("node_id")))
+    return index.join(touched.distinct(), "node_id", "left_anti").select(*index.columns).unionByName(tokens(changed, columns).select(*index.columns))
+
+
 def measure(functions: DataFrame, text: str = "text") -> DataFrame:
     """functions (id, text) with branches, returns, loc and depth."""
     clean = functions.withColumn("_clean", stripped(text))

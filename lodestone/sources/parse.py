@@ -107,7 +107,7 @@ def _patterns(text: str, language: str) -> tuple[list[dict], list[tuple[int, str
             m = re.match(pattern, line)
             if not m or m["name"] in _NO_NAME:
                 continue
-            end = brace_end(text, no)
+            end = brace_end(rows, no)
             containers = [c for c in containers if c[0] >= no]
             owner = m.groupdict().get("owner") or (containers[-1][1] if containers and kind in ("method", "class", "interface") else "")
             name = f"{owner}.{m['name']}" if owner else m["name"]

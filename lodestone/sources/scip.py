@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.predicates import dir_of, exported, imported_language, qualified_of_symbol, symbol_id, symbol_kind, symbol_name, visibility
+from lodestone.functions.predicates import dir_of, exported, imported_language, index_kind, qualified_of_symbol, symbol_id, symbol_name, visibility
 from lodestone.operators.joins import enclosing, prioritized, with_lead_end
 
 DEFINITION = 1
@@ -26,7 +26,7 @@ def definitions(occurrences: DataFrame, symbols: DataFrame, keep_locals: bool =
     language = imported_language("file_path")
     name = F.coalesce(F.when(F.col("display_name") != "", F.col("display_name")), symbol_name("symbol"))
     nodes = named.select(
-        symbol_id(F.lit("scip"), "file_path", qualified, F.col("symbol")).alias("id"), F.coalesce(F.lower("kind"), symbol_kind("symbol")).alias("kind"), name.alias("name"), qualified.alias("qualified_name"),
+        symbol_id(F.lit("scip"), "file_path", qualified, F.col("symbol")).alias("id"), index_kind("kind", "symbol").alias("kind"), name.alias("name"), qualified.alias("qualified_name"),
         "file_path", language.alias("language"), "start_line", "start_column", "end_column", "own_end", F.coalesce("signature", F.lit("")).alias("signature"),
         F.array_join(F.coalesce("documentation", F.array().cast("array<string>")), "\n").alias("docstring"), visibility("signature").alias("visibility"), exported(language, name).alias("is_exported"), "symbol",
     )
