@@ -24,7 +24,7 @@ def resolve(nodes: DataFrame, symbol: str, limit: int = 20) -> DataFrame:
     tier = F.when(F.col("id") == symbol, 0).when(((F.col("name") == symbol) | holds("qualified_name", symbol)) & non_synthetic(), 1)
     tiered = nodes.select("id", tier.alias("tier")).where("tier is not null")
     best = tiered.agg(F.min("tier").alias("tier"))
-    return tiered.join(F.broadcast(best), "tier").select("id").orderBy("id").limit(limit)
+    return tiered.join(F.broadcast(best), "tier").select("id").orderBy("id").limit(limit if limit > 0 else 20)
 
 
 def by_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
@@ -32,7 +32,7 @@ def by_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
 
 
 def by_file(nodes: DataFrame, path: str, limit: int = 10) -> DataFrame:
-    return nodes.where((F.col("file_path") == path) & non_synthetic()).orderBy("start_line", "id").limit(limit)
+    return nodes.where((F.col("file_path") == path) & non_synthetic()).orderBy("start_line", "id").limit(limit if limit > 0 else 10)
 
 
 def locate(nodes: DataFrame, symbol: str) -> DataFrame:
@@ -54,7 +54,7 @@ def file_list(files: DataFrame, prefix: str = "", glob: str = "", limit: int = 1
         found = found.where(like("path", prefix.strip().lstrip("./") + "%"))
     if glob:
         found = found.where(like("path", "%" + glob.replace("*", "%")))
-    return found.orderBy("path").limit(limit)
+    return found.orderBy("path").limit(limit if limit > 0 else 100)
 
 
 def functions(nodes: DataFrame) -> DataFrame:

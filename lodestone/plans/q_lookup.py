@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import predicates as p
 from lodestone.functions import text
 from lodestone.functions.globs import PathFilter
-from lodestone.operators import lookup
+from lodestone.operators import joins, lookup
 from lodestone.plans.fixtures import CodeGraph
 from lodestone.plans.registry import query
 
@@ -150,6 +150,16 @@ def module_edges(g):
 TOKENS = "lower(strip_accents(name))"
 
 
+#: A name of several words, as those of a code base have it.
+WORDY = "(select min(name) from nodes where name like '%!_%!_%' escape '!')"
+
+
+@query("F21_phrase", f"select id as node_id from nodes where contains(' ' || regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || replace({WORDY}, '_', ' ') || ' ') or contains(' ' || regexp_replace(lower(qualified_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || replace({WORDY}, '_', ' ') || ' ')")
+def phrase(g):
+    term = g.nodes.where("name like '%!_%!_%' escape '!'").agg(F.min("name")).first()[0]
+    return text.match(text.tokens(g.nodes, ("name", "qualified_name")), [term.upper() if term else "none"])
+
+
 @query("F21_match", "with t as (select id as node_id, unnest(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+')) as token from nodes union all select id, unnest(regexp_split_to_array(lower(qualified_name), '[^\\p{L}\\p{N}]+')) from nodes union all select id, unnest(regexp_split_to_array(lower(id), '[^\\p{L}\\p{N}]+')) from nodes) select distinct node_id from t where token in ('main', '17')")
 def match(g):
     return text.match(text.tokens(g.nodes), ["main", "17"])
@@ -164,10 +174,10 @@ def explore(g):
     return text.explore(g.nodes, g.edges, "main 17")
 
 
-@query("Z23_ranked_match", "with t as (select doc_id, unnest(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+')) as token from documents where lang = 'en'), tf as (select doc_id, token, count(*) as tf from t where token in ('idiot', 'token') group by 1, 2), df as (select token, count(*) as df from tf group by 1) select cast(doc_id as varchar) as node_id, round(sum(tf * ln((select count(*) from documents)::double / df)), 6) as score from tf join df using (token) group by doc_id")
+@query("Z23_ranked_match", "with t as (select doc_id, unnest(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+')) as token from documents), tf as (select doc_id, token, count(*) as tf from t where token in ('idiot', 'token') group by 1, 2), df as (select token, count(*) as df from tf group by 1) select cast(doc_id as varchar) as node_id, round(sum(tf * ln((select count(*) from documents)::double / df)), 6) as score from tf join df using (token) group by doc_id")
 def ranked_match(g):
     docs = g.table("documents")
-    index = text.tokens(docs.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("docstring")), ("docstring",))
+    index = text.tokens(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("docstring")), ("docstring",))
     return text.ranked_match(index, ["idiot", "token"], docs.count())
 
 
@@ -226,7 +236,7 @@ def globs(g):
 
 @query("F04_normalize", "select path, path as clean from files")
 def normalize(g):
-    return g.files.select("path", p.clean_path(F.concat(F.lit(" ./"), F.regexp_replace("path", "/", "//./"))).alias("clean"))
+    return g.files.select("path", p.clean_path(F.concat(F.lit(" ./zz/..//"), F.regexp_replace("path", "/", "/y/.//..//./"))).alias("clean"))
 
 
 @query("F06_filter_report", "select distinct 'exclude' as rule, 'src1/' as path from files where path like 'src1/%' union all select distinct 'scipExclude', 'src2/' from files where path like 'src2/%' union all select distinct 'treeSitterExclude', regexp_extract(path, '^([^/]*/fr/)', 1) from files where path like '%/fr/%'")
@@ -303,9 +313,9 @@ def path_parts(g):
     return g.nodes.select(p.dir_of("file_path").alias("dir"), p.base_of("file_path").alias("base"), p.extension_of("file_path").alias("ext")).distinct()
 
 
-@query("X06_hash", "select path, content_hash from files")
+@query("X06_hash", "select doc_id, sha256(text) as content_hash from documents")
 def content_hash(g):
-    return g.files.select("path", "content_hash")
+    return g.table("documents").select("doc_id", p.content_hash("text").alias("content_hash"))
 
 
 @query("X07_symbol_id", "select id, 'go:' || file_path || '::' || qualified_name as made from nodes")
@@ -325,9 +335,32 @@ def exported(g):
     return g.nodes.select("id", p.exported("language", F.concat(F.upper(F.substring("name", 1, 1)), F.substring("name", 2, 1000))).alias("exported"))
 
 
-@query("X12_links", "select source, target from page_imports")
-def links(g):
-    return g.page_imports
+@query("X12_calls", "select doc_id, array_to_string(regexp_extract_all(replace(text, '.', '('), '([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1), ' ') as calls from documents")
+def calls(g):
+    return g.table("documents").select("doc_id", F.array_join(F.regexp_extract_all(F.replace("text", F.lit("."), F.lit("(")), F.lit(joins.CALL), 1), " ").alias("calls"))
+
+
+@query("X13_keywords", f"select id, name in ({', '.join(repr(k) for k in joins.KEYWORDS)}) as keyword from (select id, case when end_line % 3 = 0 then 'sizeof' when end_line % 3 = 1 then 'this' else name end as name from nodes)")
+def keywords(g):
+    name = F.when(F.col("end_line") % 3 == 0, "sizeof").when(F.col("end_line") % 3 == 1, "this").otherwise(F.col("name"))
+    return g.nodes.select("id", name.isin(*joins.KEYWORDS).alias("keyword"))
+
+
+@query("X09_index_kinds", "select id, case p_size % 9 when 0 then 'interface' when 1 then 'struct' when 2 then 'struct' when 3 then 'function' when 4 then 'variable' when 5 then 'method' when 6 then 'macro' when 7 then 'variable' else 'function' end as kind from part join nodes on id = 'part:' || p_partkey")
+def index_kinds(g):
+    kinds = g.sql("select concat('part:', p_partkey) as id, elt(p_size % 9 + 1, 'Interface', 'Class', 'Struct', 'Constructor', 'Field', 'Method', 'Macro', 'Namespace', 'UnspecifiedKind') as kind, 'scip-go x a/run().' as symbol from part")
+    return kinds.select("id", p.index_kind("kind", "symbol").alias("kind"))
+
+
+@query("X11_visibility", "select id, case when end_line % 3 = 0 then 'private' when end_line % 3 = 1 then 'protected' else 'public' end as visibility from nodes")
+def visibility(g):
+    signature = F.when(F.col("end_line") % 3 == 0, F.concat(F.lit("Private int "), "name")).when(F.col("end_line") % 3 == 1, F.concat(F.lit("protected "), "name")).otherwise(F.lit(None).cast("string"))
+    return g.nodes.select("id", p.visibility(signature).alias("visibility"))
+
+
+@query("X28_language_names", "select distinct language, case language when 'go' then 'Go' when 'python' then 'Python' end as shown, case language when 'go' then 'go' when 'python' then 'py' end as prefix from nodes")
+def language_names(g):
+    return g.nodes.select("language", p.language_name("language").alias("shown"), p.id_prefix("language").alias("prefix")).distinct()
 
 
 @query("X26_import_text", "select source, replace(target, 'import:', '') as needs from page_imports")
@@ -340,9 +373,13 @@ def safe_path(g):
     return g.files.select("path", p.safe_path_part("path").alias("safe"))
 
 
-@query("X30_short_hash")
+#: The wrapped sum with a sign, without the sign behind the remainder.
+HASH = "list_reduce(list_prepend(0::hugeint, list_transform(string_split(file_path || '/' || qualified_name, ''), lambda c: ord(c)::hugeint)), lambda h, c: (h * 31 + c) % 18446744073709551616::hugeint)"
+
+
+@query("X30_short_hash", f"with h as (select id, file_path || '/' || qualified_name as s, {HASH} as h from nodes) select id, substr(regexp_replace(regexp_extract(s, '([^/]*)$', 1), '[^A-Za-z0-9]', '_', 'g'), 1, 20) || '_' || cast(case when h < 9223372036854775808::hugeint then h % 1000 else (18446744073709551616::hugeint - h) % 1000 end as varchar) as diagram_id from h")
 def short_hash(g):
-    return g.nodes.select("id", p.diagram_id("file_path").alias("diagram_id"))
+    return g.nodes.select("id", p.diagram_id(F.concat("file_path", F.lit("/"), "qualified_name")).alias("diagram_id"))
 
 
 @query("X32_epoch_day", "select event_id, cast(floor(epoch(ts) / 86400) as bigint) as day from events")

@@ -228,9 +228,10 @@ def argmax(g):
     return g.calls.groupBy("source").agg(F.max_by("target", F.struct("line", "target")).alias("last_target"))
 
 
-@query("W05_running_comment")
+@query("W05_running_comment", "with m as (select doc_id, line_no, replace(replace(line, 'oning', '/*'), 'ing', '*/') as line from lines), d as (select doc_id, line_no, (len(string_split(line, '/*')) - len(string_split(line, '*/'))) as opened from m) select doc_id, line_no, coalesce(sum(opened) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) > 0 as in_comment from d")
 def running_comment(g):
-    return text.running_comment(g.lines.withColumnRenamed("doc_id", "path")).groupBy("in_comment").agg(F.count("*").alias("n"))
+    marked = g.lines.withColumn("line", F.replace(F.replace("line", F.lit("oning"), F.lit("/*")), F.lit("ing"), F.lit("*/")))
+    return text.running_comment(marked, "doc_id").select("doc_id", "line_no", "in_comment")
 
 
 @query("W07_share", "select kind, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 6) as percent from nodes group by kind")
@@ -291,14 +292,41 @@ def dispatch(g):
     return found.select("doc_id", F.array_join("s", "\n").alias("signals"))
 
 
-@query("X19_nesting")
+#: Prose with the marks of code in it.
+CODED = "replace(translate(text, ',.', '{}'), 'ing ', ':' || chr(10) || ' ')"
+#: Nesting as windows over lines: what closes first can't go below 0, and a line that ends with : counts from the indent of those before it.
+NEST = f"""with l as (select doc_id, unnest(generate_series(1, len(string_split({CODED}, chr(10))))) as no, unnest(string_split({CODED}, chr(10))) as line from documents),
+b as (select doc_id, no, trim(line, ' ' || chr(9) || chr(13)) as body, length(line) - length(ltrim(line, ' ' || chr(9))) as indent from l),
+c as (select *, length(body) - length(translate(body, '}})]', '')) as closed, length(body) - length(replace(body, '{{', '')) as opened from b where body <> ''),
+s as (select *, sum(opened - closed) over w - opened as y, coalesce(max(case when ends_with(body, ':') then indent end) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0) as base from c window w as (partition by doc_id order by no)),
+d as (select *, y - least(0, min(y) over (partition by doc_id order by no)) as inner_depth from s)
+select t.doc_id, cast(coalesce(max(greatest(inner_depth + opened, case when ends_with(body, ':') and indent >= base then inner_depth + 1 else 0 end)), 0) as bigint) as depth from documents t left join d on d.doc_id = t.doc_id group by t.doc_id"""
+
+
+def coded(g):
+    marked = F.replace(F.translate("text", ",.", "{}"), F.lit("ing "), F.lit(":\n "))
+    return g.table("documents").select("doc_id", marked.alias("text"))
+
+
+@query("X19_nesting", NEST)
 def nesting(g):
-    return g.table("documents").select("doc_id", text.nesting("text").alias("depth"))
+    return coded(g).select("doc_id", text.nesting("text").alias("depth"))
 
 
-@query("X16_stripped")
+#: Comments and strings, as an expression.
+NOISE = r"""//[^\n]*|#[^\n]*|(?s:/\*.*?(?:\*/|\z))|"(?:\\(?s:.)?|[^"\\\n])*"?|''(?:\\(?s:.)?|[^''\\\n])*''?|`[^`]*`?"""
+
+
+@query("X16_stripped", f"select doc_id, regexp_replace(regexp_replace(text, '{NOISE}', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g') as code from documents")
 def stripped(g):
-    return g.table("documents").select("doc_id", F.length(text.stripped("text")).alias("n"))
+    return g.table("documents").select("doc_id", F.regexp_replace(text.stripped("text"), r"[ \t\n\r\f]+", " ").alias("code"))
+
+
+@query("X14_quotes", """with p as (select doc_id, line_no, substr(line, 1, strpos(line, ',') - 1) as head from lines where contains(line, ',')) select doc_id, line_no, (len(string_split(head, '"')) - 1) % 2 = 1 as inside from p where not regexp_matches(head, '[''`\\\\]')""")
+def quotes(g):
+    head = F.substring_index("line", ",", 1)
+    own = g.lines.where(F.contains("line", F.lit(",")) & ~head.rlike(r"['`\\]"))
+    return own.select("doc_id", "line_no", text.quoted("line", F.instr("line", ",") - 1).alias("inside"))
 
 
 RISK = f"with {FANS}, m as (select doc_id, len(list_filter({TOKEN}, lambda t: t in ({BRANCH}))) as branches from documents), t as (select n.id, is_exported, branches, coalesce(fan_in, 0) as fan_in, coalesce(fan_out, 0) as fan_out, coalesce(cross_calls, 0) as x from nodes n join m on n.id = 'part:' || m.doc_id left join fans f on f.id = n.id)"

@@ -38,6 +38,6 @@ same_sql("Z26_cube", "select p_brand, p_size, count(*) as n from part where p_si
 same_sql("S15_query", "select kind, provenance, count(*) as n from edges group by kind, provenance")
 
 
-@query("Z22_typeof", "select distinct 'bigint' as t from part")
+@query("Z22_typeof", "select p_partkey, lower(typeof(p_partkey)) as a, replace(typeof(p_name), 'VARCHAR', 'string') as b, lower(typeof(p_retailprice)) as c, lower(typeof(p_size > 5)) as d from part")
 def typeof(g):
-    return g.sql("select distinct typeof(p_partkey) as t from part")
+    return g.sql("select p_partkey, typeof(p_partkey) as a, typeof(p_name) as b, typeof(p_retailprice) as c, typeof(p_size > 5) as d from part")

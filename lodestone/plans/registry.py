@@ -38,7 +38,7 @@ def same_sql(name: str, spark_text: str, duck_text: str | None = None) -> None:
 
 
 def _fill() -> None:
-    from lodestone.plans import q_graph, q_ingest, q_lookup, q_metrics, q_sql  # noqa: F401
+    from lodestone.plans import q_graph, q_index, q_ingest, q_lookup, q_metrics, q_sql  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,24 @@ def _struct() -> str:
     return ",".join(c.replace(" ", ":") for c in VERDICT.split(", "))
 
 
-def compile_commands(spark: SparkSession, path: str, rule: PathFilter | None = None) -> DataFrame:
-    """directory, file and command of the entries that have them all and that a filter allows."""
-    raw = spark.read.schema("directory string, file string, command string, arguments array<string>").option("multiLine", True).json(path)
+def compile_commands(spark: SparkSession, path: str, rule: PathFilter | None = None, lines: bool = False) -> DataFrame:
+    """directory, file and command of the entries that have them all and that a filter allows; of a file with one array, or with
+    an entry a line."""
+    raw = spark.read.schema("directory string, file string, command string, arguments array<string>").option("multiLine", not lines).json(path)
     full = raw.withColumn("command", F.coalesce("command", F.array_join("arguments", " "))).where("directory is not null and file is not null and command is not null")
     return full.where(rule.allows(F.col("file"))).select("directory", "file", "command") if rule else full.select("directory", "file", "command")
 
 
+def rewrite_compile_commands(spark: SparkSession, path: str, target: str, rule: PathFilter, lines: bool = False) -> int:
+    """Writes the entries that are valid and allowed to another folder, as the same kind of file; how many there are."""
+    kept = compile_commands(spark, path, rule, lines)
+    if lines:
+        kept.write.mode("overwrite").json(target)
+    else:  # the entries of one file
+        kept.coalesce(1).agg(F.to_json(F.collect_list(F.struct("directory", "file", "command"))).alias("value")).write.mode("overwrite").text(target)
+    return kept.count()
+
+
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     """type, key, content, timestamp of stored documents, the newest first; what isn't one is left out."""
     found = spark.read.schema("type string, key string, content string, timestamp string").option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(path)

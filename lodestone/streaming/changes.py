@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,11 @@ QUIET = "800 milliseconds"
 UNWATCHED = (".git", "node_modules", ".lodestone", "dist", "build", "vendor", ".idea")
 
 
+def source(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of changes (path, op, ts) that are logged in a folder, a JSON object a line; new files are taken as they come."""
+    return spark.readStream.schema("path string, op string, ts timestamp").json(folder)
+
+
 def watched(events: DataFrame) -> DataFrame:
     """Events of source files outside of the unwatched directories."""
     parts = F.split("path", "/")
