@@ -1,10 +1,11 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Weights. A document's features are its distinct shingles of five words (lower case). A shingle's weight is
-(1 + ln tf) * (idf / ln 2)^IDF_POWER with idf = ln(1 + N / (1 + df)), rounded to a grid of STEPS steps an octave. df
-counts the documents, over the whole table, with a shingle of the same BUCKETS-fold hash: a table of fixed size, which
-tells apart what more than about one document in BUCKETS / (shingles a document) holds, at every size of the corpus. The
-power damps the idf: without it the few words in which members of a large group differ would outweigh all they share.
+(1 + ln tf) * (idf / ln 2)^IDF_POWER with idf = ln(1 + N / (1 + df)), rounded to a grid of STEPS steps an octave. df is
+estimated over the whole table in one of BUCKETS counts, a table of fixed size: the documents with a shingle of the bucket,
+less the mean of all buckets, which is what other shingles add, and 1 at least. Its standard error is the root of that mean,
+so that with 300 shingles a document it is about 17 at 250,000 documents and 34,000 at 10^12. The power damps the idf:
+without it the few words in which members of a large group differ would outweigh all they share (figures in the README).
 
 Sampling (Ioffe's ICWS). For a feature of weight w and hash function k with r, c ~ Gamma(2, 1) and b ~ U(0, 1):
 t = floor(ln w / r + b), ln a = ln c - r (t + 1 - b); the sample is the feature with the least a, and its t. Weights lie
@@ -66,8 +67,9 @@ def sampling() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    """Damped idf by bucket."""
-    return ((np.log1p(n / (1 + df)) / math.log(2)) ** IDF_POWER).astype(np.float32)
+    """Damped idf by bucket; df: documents with a shingle in each."""
+    own = np.maximum(df - df.mean(), 1)
+    return ((np.log1p(np.maximum(n, own + 1) / (1 + own)) / math.log(2)) ** IDF_POWER).astype(np.float32)
 
 
 def levels(hashes: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
