@@ -51,20 +51,30 @@ def placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return routes.unionByName(mutations.external_nodes(nodes, edges).withColumn("language", F.lit("unknown"))).withColumn("qualified_name", F.col("name")).withColumn("file_path", F.lit("")).withColumn("start_line", F.lit(0)).withColumn("end_line", F.lit(0))
 
 
+def without(known: Tables, paths: DataFrame) -> Tables:
+    """known without files (path): their nodes, the edges that start in them or at them, their rows."""
+    nodes, edges, kept = mutations.delete_files(known.nodes, known.edges, known.files, paths, keep_imported=True)
+    edges = edges.join(paths.select(F.concat(F.lit("file:"), "path").alias("source")), "source", "left_anti").select(*known.edges.columns)
+    return replace(known, nodes=nodes, edges=edges, files=kept)
+
+
 def build(sources: DataFrame, verdicts: DataFrame | None = None, known: Tables | None = None) -> Tables:
     """The tables of sources (path, text, language, content_hash, size, modified_at); with known, all of its files that sources
-    don't have stay as they are."""
+    don't have stay as they are, but for links to what is no more. A file that stays is not searched for calls of new names."""
     spark = sources.sparkSession
     stages = Stages(spark)
     parsed = stages.write(parse.parse_files(sources), "parsed")
     nodes = conform(parse.nodes_of(parsed), NODES)
     own = parse.edges_of(parsed)
     if known is not None:
-        touched = sources.select("path")
-        kept_nodes, kept_edges, kept_files = mutations.delete_files(known.nodes, known.edges, known.files, touched, keep_imported=True)
-        nodes = conform(kept_nodes.where("kind not in ('route', 'external')"), NODES).unionByName(nodes)
-        own = own.unionByName(kept_edges.where("kind not in ('implements')").select("source", "target", "kind", "provenance", "line"))
+        rest = without(known, sources.select("path"))
+        nodes = conform(rest.nodes.where("kind not in ('route', 'external')"), NODES).unionByName(nodes)
     nodes = stages.write(mutations.keep_first(nodes), "nodes")
+    if known is not None:
+        there = nodes.select(F.col("id").alias("target"))
+        made = F.col("target").rlike("^(external|import):")
+        kept = rest.edges.where("kind != 'implements'").select("source", "target", "kind", "provenance", "line")
+        own = own.unionByName(kept.where(made).unionByName(kept.where(~made).join(there, "target", "left_semi").select(*kept.columns)))
     own = stages.write(own, "own")
     edges = stages.write(conform(mutations.insert_or_ignore(numbered(own.unionByName(linked(nodes, sources, own))), null_lines_apart=False), EDGES), "edges")
     every = nodes.unionByName(conform(placeholders(nodes, edges), NODES))
@@ -73,7 +83,7 @@ def build(sources: DataFrame, verdicts: DataFrame | None = None, known: Tables |
     now = sources.select("path", "content_hash", "language", "size", "modified_at").join(counts, "path", "left").join(notes, "path", "left")
     now = conform(now.withColumn("node_count", F.coalesce("node_count", F.lit(0))), FILES)
     if known is not None:
-        now = conform(kept_files, FILES).unionByName(now)
+        now = conform(rest.files, FILES).unionByName(now)
     found = mutations.load_verdicts(verdicts) if verdicts is not None else None
     if found is not None:
         found = conform(found.withColumn("id", F.xxhash64("symbol_id", "rule_id")), VERDICTS)
@@ -96,8 +106,7 @@ def update(spark: SparkSession, root: str, known: Tables, rule: PathFilter | Non
     if actions.isEmpty():
         return known
     gone = actions.where("action = 'delete'").select("path")
-    nodes, edges, kept = mutations.delete_files(known.nodes, known.edges, known.files, gone)
-    return build(now.join(actions.where("action != 'delete'"), "path", "left_semi"), None, replace(known, nodes=nodes, edges=edges, files=kept))
+    return build(now.join(actions.where("action != 'delete'"), "path", "left_semi"), None, without(known, gone))
 
 
 def _fs(spark: SparkSession, folder: str):
