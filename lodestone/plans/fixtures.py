@@ -23,15 +23,17 @@ select 'part:'||cast(p_partkey as varchar(20)) as id,
  cast(p_size as bigint) as start_line, cast(p_size+p_partkey%40 as bigint) as end_line,
  cast(p_partkey%2 as bigint) as is_exported
 from part""",
-    # An edge is unique by source, target, kind and line, of which its id is made; the first supplier and flag count.
+    # An edge is unique by source, target, kind and line, of which its id is made; the first supplier and flag count. Every fifth
+    # part is no target, so that there is code that nothing calls.
     "edges": """
 select cast((l_partkey*n+target)*10+l_linenumber as bigint) as id, 'part:'||cast(l_partkey as varchar(20)) as source, 'part:'||cast(target as varchar(20)) as target,
  case l_linenumber%7 when 5 then 'imports' when 6 then 'contains' else 'calls' end as kind,
  case flag when 65 then 'scip' when 78 then 'tree-sitter' else 'heuristic' end as provenance,
  cast(l_linenumber as bigint) as line, cast((x - flag) / 128 as bigint) as col
 from (select *, x % 128 as flag, (select count(*) from part) as n
- from (select l_partkey, l_orderkey % (select count(*) from part) as target, l_linenumber, min(l_suppkey*128+ascii(l_returnflag)) as x
-  from lineitem group by l_partkey, l_orderkey % (select count(*) from part), l_linenumber) v) w""",
+ from (select l_partkey, target, l_linenumber, min(l_suppkey*128+ascii(l_returnflag)) as x
+  from (select *, m + case when m % 5 = 0 then 1 else 0 end as target
+   from (select *, l_orderkey % (select count(*) from part) as m from lineitem) u) t group by l_partkey, target, l_linenumber) v) w""",
     "verdicts": """
 select cast(doc_id as bigint) as id, 'doc:'||cast(doc_id as varchar(20)) as symbol_id, cast(toxic as bigint) as has_active_defect,
  case when toxic=1 then 'REJECT' else 'PASS' end as decision from labels""",

@@ -151,12 +151,12 @@ TOKENS = "lower(strip_accents(name))"
 
 
 #: A name of several words, as those of a code base have it.
-WORDY = "(select min(name) from nodes where name like '%!_%!_%' escape '!')"
+WORDY = "(select min(name) from nodes where name like '%!_%' escape '!')"
 
 
 @query("F21_phrase", f"select id as node_id from nodes where contains(' ' || regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || replace({WORDY}, '_', ' ') || ' ') or contains(' ' || regexp_replace(lower(qualified_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || replace({WORDY}, '_', ' ') || ' ')")
 def phrase(g):
-    term = g.nodes.where("name like '%!_%!_%' escape '!'").agg(F.min("name")).first()[0]
+    term = g.nodes.where("name like '%!_%' escape '!'").agg(F.min("name")).first()[0]
     return text.match(text.tokens(g.nodes, ("name", "qualified_name")), [term.upper() if term else "none"])
 
 

@@ -24,7 +24,7 @@ same_sql("Z14_intersect", "select o_custkey as id from orders where o_totalprice
 same_sql("Z14_except", "select c_custkey as id from customer except select o_custkey from orders where o_totalprice > 400000")
 same_sql("Z15_offset", "select c_custkey, c_name from customer order by c_acctbal desc nulls last, c_custkey limit 10 offset 20")
 same_sql("Z16_with", "with a as (select o_custkey, sum(o_totalprice) as spent from orders group by o_custkey), b as (select avg(spent) as mean from a) select o_custkey, round(spent, 2) as spent from a where spent > (select mean * 2 from b)")
-same_sql("Z16_recursive", "with recursive up(id, d) as (select 'part:0', 0 union all select e.source, d + 1 from up join edges e on e.target = up.id and e.kind = 'calls' where d < 3) select id, min(d) as depth from up group by id")
+same_sql("Z16_recursive", "with recursive up(id, d) as (select 'part:1', 0 union all select e.source, d + 1 from up join edges e on e.target = up.id and e.kind = 'calls' where d < 3) select id, min(d) as depth from up group by id")
 same_sql("Z17_strings", "select p_partkey, lower(p_name) as lo, upper(p_name) as up, length(p_name) as n, substr(p_name, 2, 3) as sub, substr(p_name, -3) as tail, instr(p_name, ' ') as at, replace(p_name, ' ', '-') as dashed, trim('  ' || p_name || ' ') as trimmed, 'p' || p_brand as joined from part")
 same_sql("Z17_printf", "select p_partkey, format_string('%05d:%s', p_partkey, p_brand) as f, chr(65 + cast(p_partkey % 26 as int)) as c, ascii(p_name) as a, hex(p_brand) as h from part", "select p_partkey, printf('%05d:%s', p_partkey, p_brand) as f, chr(65 + cast(p_partkey % 26 as int)) as c, ascii(p_name) as a, hex(p_brand) as h from part")
 same_sql("Z18_patterns", "select p_partkey from part where p_name ilike '%RED%' or p_name rlike '^b.*s$'", "select p_partkey from part where p_name ilike '%RED%' or p_name glob 'b*s'")
