@@ -9,7 +9,8 @@ x >= 0, how often each document is to be taken, are fitted by projected gradient
 with t_i a document's tokens, p_id its posterior, T all tokens, T_d the target share of d times T, and s_d its share as it
 is. In the measure of tokens the gradient at document i is g_i = sum_d p_id e_d / s_d + ridge (x_i - 1), with the relative
 error e_d = (S_d - T_d) / T, and a step is x_i <- max(0, x_i - g_i / (1 + ridge)). Posteriors add up to one, so no eigenvalue
-of the curvature is above 1 + ridge: the step needs no search and the error never grows.
+of the curvature is above 1 + ridge: the step needs no search and the error never grows. There are at most STEPS of them;
+targets that few documents can meet are neared slowly.
 
 A step is one distributed sum over documents, of which the driver gets D numbers; the rate of a document follows from its
 posterior and the errors of the steps before, so no rates are written between steps. Documents with exactly the same
@@ -136,7 +137,7 @@ def fit_rates(cells: DataFrame, n: int, targets: list[float], *, steps: int = ST
         # x - (slope + ridge x) / (1 + ridge)
         rate = F.greatest(F.lit(0.0), (rate - slope) * (1 / (1 + ridge)))
         before, (_, share) = share, look(rate)
-        if np.abs((share - before) / np.maximum(wanted, 1e-9)).max() < TOLERANCE:
+        if np.abs((share - before) / np.maximum(wanted, 1e-3)).max() < TOLERANCE:
             break
     return rate
 
