@@ -25,13 +25,21 @@ TARGETS = {"clean": 0.95, "toxic": 0.05}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored from the bias alone, repeated rows each by themselves; ids may be null; equal scores are
+    decided alike. Without labels of both kinds every document has the same score.
+    """
     model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
     return nbsvm.score(docs, model, keep=list(COLUMNS[1:])).where(F.col("score") >= QUALITY_BOUND).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least id, of texts with one id the one with the least hash."""
+    """One document of each class of near-duplicates: the one with the least id, of texts with one id the one with the least hash.
+
+    Null and empty texts are classes of their own; rows without an id go; rows of one id and text are one, with the least of
+    the other columns; different texts under one id all stay unless another text of their class does.
+    """
     stages = Stages(spark)
     docs = docs.where("doc_id is not null").select(*COLUMNS)
     repeated = stages.write(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
@@ -54,20 +62,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced."""
+    """All documents, each secret replaced, and n_chars counted anew where one was. Null texts stay null; every row stays."""
     found = secrets.scan(docs, public_vocabulary("byte_bpe_50k.tiktoken"), redact=REDACTED, keep=["lang", "source", "n_chars"])
     changed = F.size("spans") > 0
     return found.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate takes it."""
+    """Each document as often as its rate takes it.
+
+    Null and empty texts have no tokens and the rate of texts without any telling term; rows of one id have the same draw, so
+    that ties are decided alike in every run.
+    """
     rates = mixing.mix(docs, domain_labels(table(spark, sf_dir, "labels")), TARGETS, keep=["text", "lang", "source", "n_chars"])
     return rates.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences."""
+    """Pieces of all documents and their places in sequences; null and empty texts are a piece of the end id alone, and
+    documents taken several times are packed each time."""
     return packing.pack_documents(docs, public_vocabulary("word_bpe_49k.json"))
 
 

@@ -25,7 +25,7 @@ back(id, d, path) as (select id, d, id from goal union all select * from (select
 select path from back where d = 0""")
 def shortest_path(g):
     start = most_calling(g).first()["id"]
-    goal = graph.reach(g.edges, most_calling(g), "down", 6).orderBy(F.desc("depth"), "id").first()["id"]
+    goal = graph.reach(g.edges, g.spark.createDataFrame([(start,)], "id string"), "down", 6).orderBy(F.desc("depth"), "id").first()["id"]
     return graph.shortest_path(g.edges, start, goal).select(F.array_join("path", " > ").alias("path"))
 
 
