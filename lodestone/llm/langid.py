@@ -7,7 +7,8 @@ positions, so that scoring is two table look-ups a byte and model, over the whol
 The models are linear hinge-loss models fitted by dual coordinate descent to at most SAMPLE rows a language, those whose
 id's hash falls under a bound set by the language's count; features of the sample are computed on the executors. Of the
 values of the language column the LANGUAGES most frequent are learnt (of equally frequent ones the least), so that a column
-full of misspellings stays a bounded sample, and the models of all pairs of them take at most 260 MB.
+full of misspellings stays a bounded sample, and the models of all pairs of them take at most 260 MB. Rows of one id count as
+one, the least by language and text; the driver fetches features of SAMPLE_BYTES at most, the same for each language.
 
 Defined results: und with score 0 for null texts and texts without a letter, and when nothing could be learnt; of families
 and languages that a text fits equally well the first by name is taken; repeated rows each get their row.
@@ -21,14 +22,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import linear, textkit
+from lodestone.llm.common import Stages
 from lodestone.session import ship
 
 #: Rows a language that the models are fitted to, about.
 SAMPLE = 500
+#: Bytes of features that the driver fetches, at most.
+SAMPLE_BYTES = 256 << 20
 #: Languages that are learnt, at most.
 LANGUAGES = 32
 DIMS = 1 << 17
@@ -177,6 +181,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     whole = 1 << 30
     bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(whole, int(whole * sample / n) + 1))))
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < bound[F.col("lang")])
+    picked = picked.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("least")).select("id", "least.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +189,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["id", "lang", "indices", "shares"])
 
     key = rows.schema["id"].dataType.simpleString()
-    got = picked.mapInArrow(textkit.tidy(run), f"id {key}, lang string, indices binary, shares binary").toPandas().sort_values(["lang", "id", "indices"])
+    found = Stages(docs.sparkSession).write(picked.mapInArrow(textkit.tidy(run), f"id {key}, lang string, indices binary, shares binary"), "learnt")
+    sizes = found.select("id", "lang", (F.octet_length("indices") + F.octet_length("shares")).cast("long").alias("bytes"))  # about sample rows a language
+    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    within = sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES // len(counts)).select("id")
+    got = found.join(within, "id", "left_semi").toPandas().sort_values(["lang", "id"])
     return fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v)) for i, v in zip(got["indices"], got["shares"], strict=True)], list(got["lang"]))
 
 
