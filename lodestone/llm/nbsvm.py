@@ -6,8 +6,9 @@ between the classes; a linear hinge-loss model is then fitted by dual coordinate
 that it was not fitted to.
 
 The model is fitted on the driver to at most SAMPLE labelled rows, those with the least hash of their id, and of these to as
-many as have SAMPLE_BYTES of indicators together; a row's indicators are computed on the executors over its whole text. Every
-document is then scored in one pass without a shuffle.
+many as have SAMPLE_BYTES of indicators together; of rows with one id the least text alone is learnt from, so that no id can use
+up the sample. A row's indicators are computed on the executors over its whole text. Every document is then scored in one
+pass without a shuffle.
 
 Defined results: null and empty texts are scored from the bias alone; repeated rows each get their row; a document with
 several labels counts with the lowest; without labelled rows of both classes every score is the share of label 1, or
@@ -127,11 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "label", "found"])
 
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    picked = picked.groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = Stages(docs.sparkSession).write(picked.select("id", "text", "label").mapInArrow(textkit.tidy(run), f"id {key}, label int, found binary"), "labelled")
-    sizes = rows.groupBy("id").agg(F.sum(F.octet_length("found")).alias("bytes"))  # at most sample rows
+    sizes = rows.select("id", F.octet_length("found").cast("long").alias("bytes"))  # at most sample rows
     within = sizes.withColumn("upto", F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id"))).where(F.col("upto") <= SAMPLE_BYTES).select("id")
     got = rows.join(F.broadcast(within), "id").toPandas()
-    got = got.assign(size=got["found"].map(len)).sort_values(["id", "size"]).drop_duplicates("id")
+    got = got.sort_values("id")
     return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["found"]], got["label"].to_numpy(), cost=cost)
 
 
