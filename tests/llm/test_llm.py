@@ -180,13 +180,13 @@ def test_plans_hold_every_piece_once_and_come_near_the_bound():
             for x, q in pattern:
                 total[x] = total.get(x, 0) + q * times
         assert total == histogram
-        rooms: list[int] = []  # plain best fit, one piece at a time: it needs no more than 11/9 of the least number, and one
+        rooms: list[int] = []  # plain best fit, one piece at a time
         for x in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
             fits = [r for r in rooms if r >= x]
             if fits:
                 rooms.remove(min(fits))
             rooms.append((min(fits) if fits else capacity) - x)
-        assert sum(t for _, t in patterns) <= 11 / 9 * len(rooms) + 1
+        assert sum(t for _, t in patterns) <= len(rooms)
 
 
 def best_number(lengths, capacity):
@@ -234,6 +234,16 @@ def test_packing_is_gapless(spark, docs, odd):
         assert placed.sequence_id.nunique() <= 1.1 * least + 2
 
 
+def test_equal_and_unnamed_rows_are_packed_one_by_one(spark):
+    """Many equal rows under one id, null ids, and clashing columns: every row has its place."""
+    rows = [(1, "a b c")] * 3000 + [(None, "d")] * 2000 + [(2, None)] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("length", F.lit(-1)).withColumn("rank", F.lit(0))
+    placed = packing.pack_documents(df, queries.public_vocabulary("word_bpe_49k.json")).toPandas()
+    check_placed(placed)
+    assert ((placed.doc_id == 1).sum(), (placed.doc_id == 2).sum(), placed.doc_id.isna().sum()) == (3000, 10, 2000)
+    assert len(placed) == 5010 and placed.sequence_id.nunique() == -(-placed.length.sum() // 4096)
+
+
 def test_sequences_are_their_pieces(spark, docs):
     cut = packing.numbered(packing.pieces(docs.limit(40), queries.public_vocabulary("word_bpe_49k.json"), with_ids=True), common.Stages(spark))
     placed = packing.pack(cut).cache()
@@ -267,6 +277,17 @@ def test_urls_are_judged_by_the_longest_rule(spark):
         assert got == want
 
 
+def test_odd_urls(spark):
+    """Very long hosts and paths, repeated rows, clashing columns, and rules that are null or without a host."""
+    long_host, long_path = "." * 200_000, "http://a.b/x" + "/y" * 100_000
+    urls = ["http://" + long_host + "a.b/x", long_path, long_path, "://", None]
+    pages = spark.createDataFrame([(i // 2, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, rule string, verdict string")
+    rules = spark.createDataFrame([*RULES, *RULES, ("", "", "block"), (None, "/", "block"), ("c", None, "block"), ("d", "/", None)], "host string, path string, verdict string")
+    for judge in (urlfilter.judge, urlfilter.judge_by_join):
+        got = sorted((r["page_id"], len(r["host"]), len(r["path"]), r["rule"], r["verdict"]) for r in judge(pages, rules).collect())
+        assert got == sorted([(0, 200_003, 2, "a.b/x", "block"), (0, 3, len(long_path) - 10, "a.b/x", "block"), (1, 3, len(long_path) - 10, "a.b/x", "block"), (1, 0, 0, "", "block"), (2, 0, 0, "", "block")])
+
+
 def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda s, seed: len(s) % 3)
     urlfilter.Digests.write([(f"h{i}", "/", "block") for i in range(50)], str(tmp_path / "r"))
@@ -503,6 +524,61 @@ def test_coordinate_descent_separates():
     assert ((rows.dot(w) + b > 0) == (y > 0)).mean() > 0.98
 
 
+def test_coordinate_descent_reaches_the_dual_optimum():
+    """The primal and the dual objective, said plainly, agree at the end; the optimum of all others is no better."""
+    rng = np.random.default_rng(1)
+    x, cost = rng.normal(size=(80, 6)), 0.7
+    y = np.where(x[:, 0] + 0.8 * rng.normal(size=80) > 0, 1.0, -1.0)
+    w, b = linear.svm(linear.Rows.of([(np.arange(6), v) for v in x]), y, 6, cost=cost, epochs=500)
+
+    def primal(u):
+        return u @ u / 2 + cost * (np.maximum(0, 1 - y * (x @ u[:-1] + u[-1])) ** 2).sum()
+
+    best = np.append(w, b)
+    loss = np.maximum(0, 1 - y * (x @ w + b))
+    alpha = 2 * cost * loss  # where the slope of the dual is 0 or alpha is
+    assert np.allclose((alpha * y) @ np.column_stack([x, np.ones(80)]), best, atol=1e-2)
+    dual = alpha.sum() - best @ best / 2 - (alpha**2).sum() / (4 * cost)
+    assert abs(primal(best) - dual) < 1e-2 * primal(best)
+    assert all(primal(best + rng.normal(size=7) * s) >= primal(best) - 1e-6 for s in (0.001, 0.01, 0.1) for _ in range(50))
+
+
+def test_quality_model_is_the_plain_one():
+    """Log-count ratios by counting, scaled indicators of length one, and a score from a plain sum."""
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 2, 60)
+    rows = [np.unique(rng.integers(0, 40, 12) + 15 * y) for y in labels]
+    model = nbsvm.fit(rows, labels)
+    used = [i for i in range(60) if i % 5 != 4]
+    count = [{}, {}]
+    for i in used:
+        for k in rows[i]:
+            count[labels[i]][k] = count[labels[i]].get(k, 0) + 1
+    whole = [sum(c.values()) + nbsvm.DIMS for c in count]
+    ratio = np.zeros(nbsvm.DIMS)
+    for k in range(60):
+        a, b = count[1].get(k, 0), count[0].get(k, 0)
+        if a + b > 1:
+            ratio[k] = np.log((a + 1) / whole[1]) - np.log((b + 1) / whole[0])
+    data = linear.Rows.of([(rows[i], ratio[rows[i]] / len(rows[i]) ** 0.5) for i in used])
+    w, bias = linear.svm(data, 2.0 * labels[used] - 1, nbsvm.DIMS)
+    assert np.allclose(model.weights, w * ratio) and model.bias == pytest.approx(bias)
+    margin = [sum(model.weights[k] for k in r) / len(r) ** 0.5 + bias for r in rows]
+    want = 1 / (1 + np.exp(-(model.slope * np.array(margin) + model.shift)))
+    at = np.cumsum([0, *map(len, rows)])
+    assert np.allclose(model.scores(at, np.concatenate(rows)), want)
+
+
+def test_labelled_rows_of_one_id_count_once(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    some = docs.limit(60).select("doc_id", "text", "lang")
+    twice = some.unionByName(some).unionByName(some)
+    one, three = nbsvm.train(some, labels), nbsvm.train(twice, labels)
+    assert np.array_equal(one.weights, three.weights) and (one.slope, one.shift) == (three.slope, three.shift)
+    one, three = langid.train(some, sample=1000), langid.train(twice, sample=1000)
+    assert one.families == three.families and all(np.array_equal(a, b) for (a, _), (b, _) in zip(one.outer, three.outer))
+
+
 def test_quality_held_out(spark):
     # On the larger table: enough labels to learn from.
     got = queries.op6_quality_nbsvm(spark, "/root/testdata/sf0.1").toPandas()
@@ -529,6 +605,38 @@ def test_language_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_language_is_that_of_the_plain_votes(spark):
+    """The hierarchy, said plainly on one text at a time; ties and repeated texts; the bound on bytes."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("de hond en de kat", "nl"), ("le chat et le chien", "fr"), ("el gato y el perro", "es"), ("ignored", None)] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("least", F.lit(1)).withColumn("bytes", F.lit("x"))
+    model = langid.train(df)
+    assert model.families == ["germanic", "romance"] and model.members == {"germanic": ["de", "en", "nl"], "romance": ["es", "fr"]}
+    texts = [r[1] for r in rows[:6]] + ["zzz", "the le de el", "der hund und die katze"]
+    langs, scores = model.predict(pa.array(texts))
+    for text, lang in zip(texts, langs):
+        (where, share), = langid.features(pa.array([text]))
+        margin = [w[where] @ share + b for w, b in model.outer]
+        own = model.members[model.families[int(np.argmax(margin))]]
+        votes = dict.fromkeys(own, 0.0)
+        for (x, y), (w, b) in model.inner.items():
+            if x in own:
+                m = float(w[where] @ share + b)
+                votes[x] += (m >= 0) + 1e-6 * m
+                votes[y] += (m < 0) - 1e-6 * m
+        assert lang == max(own, key=votes.get)
+    assert langs[1] == langs[8] and scores[1] == scores[8] and langs[:5] == [r[2] for r in rows[:5]]
+    none = langid.Model(["a", "b"], {"a": ["x", "y"], "b": ["z"]}, [(np.zeros(langid.DIMS, np.float32), 0.0)] * 2, {("x", "y"): (np.zeros(langid.DIMS, np.float32), 0.0)})
+    assert none.predict(pa.array(["any", "text"]))[0] == ["x", "x"]
+
+
+def test_features_that_the_driver_fetches_are_bounded(spark, docs, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda rows, langs: seen.update(bytes=sum(4 * len(i) + 8 * len(v) for i, v in rows), langs=set(langs)) or langid.Model())
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 400_000)
+    langid.train(docs)
+    assert 0 < seen["bytes"] <= 400_000 and len(seen["langs"]) > 1
+
+
 def test_language_of_texts_without_letters(spark, docs, odd):
     model = langid.train(docs)
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(odd, model).collect()]
@@ -683,7 +791,24 @@ def test_odd_documents(spark, odd):
     mixed = mixing.mix(odd, labels, {"a": 0.5, "b": 0.5}, keep=["rank", "text"])
     assert mixed.count() == n - 1 and mixed.where("tokens = 0").count() == 5  # null, empty, blank, and two of marks alone
     labels = spark.createDataFrame([(4, 1), (9, 0), (6, 1), (None, 0)], "doc_id long, quality int")
-    assert nbsvm.score(odd, nbsvm.train(odd, labels), keep=["rank"]).count() == n
+    scored = nbsvm.score(odd, nbsvm.train(odd, labels), keep=["rank"]).toPandas()
+    assert len(scored) == n and scored.score.between(0, 1).all()
+    of = {i: set(own.score) for i, own in scored.groupby("doc_id")}
+    assert of[1] == of[2] == of[3] and of[4] == of[5] and of[7] == of[8] and len(of[6]) == 1  # no indicators; equal texts; repeated rows
+
+
+def test_spans_of_odd_documents(spark, odd):
+    """Spans of null, empty, very long and repeated texts, and of texts full of them, are those of each text by itself."""
+    vocabulary = queries.public_vocabulary("byte_bpe_50k.tiktoken")
+    full = "mail a.b@c.de or 10.0.0.1, +49 170 1234567; password: hunter22x " * 2000
+    more = spark.createDataFrame([(20, full), (20, full), (21, "x" * 300_000), (22, "AKIA" + "A" * 40)], "doc_id long, text string")
+    table = odd.select("doc_id", "text").unionByName(more)
+    for found, base in ((pii.scan(table), pii.base_spans), (secrets.scan(table, vocabulary), secrets.base_spans)):
+        kinds = pii.KINDS if base is pii.base_spans else secrets.KINDS[:3]
+        got = sorted((r["id"] if r["id"] is not None else -1, [(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] in kinds]) for r in found.collect())
+        want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, sorted(map(tuple, base(r["text"] or "")), key=lambda s: (s[0], kinds.index(s[1])))) for r in table.collect())
+        assert got == want
+        assert all(not spans for i, spans in got if i in (1, 2, 3, 7)) and sum(len(s) for i, s in got if i == 20) >= 2 * 2000
 
 
 def test_empty_tables(spark, none, tmp_path):
