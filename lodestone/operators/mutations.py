@@ -66,13 +66,13 @@ def reload_source(table: DataFrame, new: DataFrame, provenance: str, languages:
 
 def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, paths: DataFrame, keep_imported: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All three tables without the paths (path): nodes in them, edges that start there, their rows."""
-    gone = nodes.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    gone = nodes.join(paths.select(F.col("path").alias("file_path")).hint("merge"), "file_path", "left_semi")
     if keep_imported:
         gone = gone.where(~(F.startswith(F.col("id"), F.lit("scip")) | F.startswith(F.col("id"), F.lit("external"))))
     return (
-        nodes.join(gone.select("id"), "id", "left_anti").select(*nodes.columns),
-        edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").select(*edges.columns),
-        files.join(paths.select("path"), "path", "left_anti").select(*files.columns),
+        nodes.join(gone.select("id").hint("merge"), "id", "left_anti").select(*nodes.columns),
+        edges.join(gone.select(F.col("id").alias("source")).hint("merge"), "source", "left_anti").select(*edges.columns),
+        files.join(paths.select("path").hint("merge"), "path", "left_anti").select(*files.columns),
     )
 
 
@@ -95,7 +95,7 @@ def load_verdicts(found: DataFrame) -> DataFrame:
 
 def external_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, kind, name of a placeholder for each external: target without a node."""
-    ids = edges.where(F.startswith(F.col("target"), F.lit("external:"))).select(F.col("target").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    ids = edges.where(F.startswith(F.col("target"), F.lit("external:"))).select(F.col("target").alias("id")).distinct().join(nodes.select("id").hint("merge"), "id", "left_anti")
     return ids.select("id", F.lit("external").alias("kind"), F.substring("id", F.lit(len("external:") + 1), F.length("id")).alias("name"))
 
 

@@ -8,6 +8,7 @@ from lodestone.functions import predicates as p
 from lodestone.functions.globs import PathFilter
 from lodestone.operators import joins, mutations
 from lodestone.plans.registry import query
+from lodestone.session import Stages
 from lodestone.sources import parse, scip
 from lodestone.streaming import changes
 
@@ -80,7 +81,7 @@ def parsed(g):
 @query("J16_cross_file_calls", f"""select 'go:' || {FILE} || '::F' || p_partkey as source, 'go:gen/f' || (p_partkey + 1) || '.go::F' || (p_partkey + 1) as target, 7 as line from part where p_partkey + 1 in (select p_partkey from part)
 union all select 'go:' || {FILE} || '::g' || p_partkey, 'go:' || {FILE} || '::F' || p_partkey, 12 from part""")
 def cross_file_calls(g):
-    return joins.cross_file_calls(sources(g), parse.nodes_of(parse.parse_files(sources(g))))
+    return joins.cross_file_calls(sources(g), Stages(g.spark).write(parse.nodes_of(parse.parse_files(sources(g))), "nodes"))
 
 
 @query("J15_routes", f"select 'route:/a' || p_partkey as route, 'go:' || {FILE} || '::g' || p_partkey as handler from part")

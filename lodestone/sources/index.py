@@ -54,7 +54,7 @@ def placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def without(known: Tables, paths: DataFrame) -> Tables:
     """known without files (path): their nodes, the edges that start in them or at them, their rows."""
     nodes, edges, kept = mutations.delete_files(known.nodes, known.edges, known.files, paths, keep_imported=True)
-    edges = edges.join(paths.select(F.concat(F.lit("file:"), "path").alias("source")), "source", "left_anti").select(*known.edges.columns)
+    edges = edges.join(paths.select(F.concat(F.lit("file:"), "path").alias("source")).hint("merge"), "source", "left_anti").select(*known.edges.columns)
     return replace(known, nodes=nodes, edges=edges, files=kept)
 
 
@@ -74,13 +74,13 @@ def build(sources: DataFrame, verdicts: DataFrame | None = None, known: Tables |
         there = nodes.select(F.col("id").alias("target"))
         made = F.col("target").rlike("^(external|import):")
         kept = rest.edges.where("kind != 'implements'").select("source", "target", "kind", "provenance", "line")
-        own = own.unionByName(kept.where(made).unionByName(kept.where(~made).join(there, "target", "left_semi").select(*kept.columns)))
+        own = own.unionByName(kept.where(made).unionByName(kept.where(~made).join(there.hint("merge"), "target", "left_semi").select(*kept.columns)))
     own = stages.write(own, "own")
     edges = stages.write(conform(mutations.insert_or_ignore(numbered(own.unionByName(linked(nodes, sources, own))), null_lines_apart=False), EDGES), "edges")
     every = nodes.unionByName(conform(placeholders(nodes, edges), NODES))
     counts = nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("node_count"))
     notes = parsed.where("row = 'file'").select("path", "errors")
-    now = sources.select("path", "content_hash", "language", "size", "modified_at").join(counts, "path", "left").join(notes, "path", "left")
+    now = sources.select("path", "content_hash", "language", "size", "modified_at").join(counts.hint("merge"), "path", "left").join(notes.hint("merge"), "path", "left")
     now = conform(now.withColumn("node_count", F.coalesce("node_count", F.lit(0))), FILES)
     if known is not None:
         now = conform(rest.files, FILES).unionByName(now)
