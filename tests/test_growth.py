@@ -67,3 +67,25 @@ def test_owners_of_equal_methods_are_compared_once(spark):
     every = {("s1", "i1"), ("s3", "i1"), *((s, i) for s in ("s1", "s2", "s3") for i in ("i2", "i3"))}
     assert {tuple(r) for r in joins.implements(nodes, members).collect()} == every
     assert {tuple(r) for r in joins.implements(nodes, members, same_language=True).collect()} == {("s1", "i1"), ("s1", "i2"), ("s2", "i2")}
+
+
+def test_pairs_of_one_name_are_many_tasks(spark, monkeypatch):
+    """Before, one task made all pairs of a name: few bytes on both sides."""
+    monkeypatch.setattr(joins, "BLOCK", 100)
+    nodes = spark.range(1500).selectExpr("concat('n', id) as id", "'function' as kind", "if(id < 1000, 'main', null) as name", "if(id % 2 = 0, 'main', concat('q', id)) as qualified_name")
+    asked = spark.range(1200).selectExpr("if(id < 1000, 'main', if(id < 1100, 'q1', if(id < 1150, 'none', null))) as name", "id as asker")
+    found = joins.by_name(asked, nodes)
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 1000 * 1250 + 100 and max(r["count"] for r in tasks) < 1000 * 1250 // 4
+    assert found.distinct().count() == 1000 * 1250 + 100 and {r["id"] for r in found.where("name = 'q1'").select("id").distinct().collect()} == {"n1"}
+
+
+def test_structs_and_interfaces_of_one_set_are_many_tasks(spark, monkeypatch):
+    """Before, one task made all pairs of two large classes, and all interfaces were gathered on the driver."""
+    monkeypatch.setattr(joins, "BLOCK", 50)
+    owners = spark.range(1000).selectExpr("concat('o', id) as id", "if(id % 2 = 0, 'struct', 'interface') as kind", "'O' as name", "'go' as language")
+    nodes = owners.unionByName(spark.createDataFrame([("m", "method", "Get", "go")], owners.schema))
+    found = joins.implements(nodes, owners.selectExpr("id as source", "'m' as target"))
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 250_000 == found.distinct().count() and max(r["count"] for r in tasks) < 250_000 // 4
+    assert "BroadcastHashJoin Inner" not in plan(found)
