@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.operators import graph, joins, mutations
+from lodestone.plans.fixtures import load
 from lodestone.sources import parse
 
 NODE = "id string, kind string, name string, file_path string, language string, start_line long, end_line long"
@@ -89,3 +91,23 @@ def test_structs_and_interfaces_of_one_set_are_many_tasks(spark, monkeypatch):
     tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in tasks) == 250_000 == found.distinct().count() and max(r["count"] for r in tasks) < 250_000 // 4
     assert "BroadcastHashJoin Inner" not in plan(found)
+
+
+def test_tasks_are_more_where_tables_are_larger(spark, tmp_path, monkeypatch):
+    """Before, a task sorted or summed 64 MB of shuffled rows, or 128 MB of a file, and there were never more than the session's number of tasks."""
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[1], "64m")
+        spark.conf.set(names[2], "1m")
+        spark.range(200_000).write.parquet(f"{tmp_path}/t.parquet")
+        monkeypatch.setattr(session, "TASK_BYTES", 32 << 10)
+        load(spark, str(tmp_path))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert int(spark.conf.get(names[0])) > least and spark.conf.get(names[1]) == str(32 << 10)
+        monkeypatch.setattr(session, "TASK_BYTES", 64 << 20)
+        load(spark, str(tmp_path))
+        assert int(spark.conf.get(names[0])) == least and spark.conf.get(names[1]) == str(32 << 10)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
