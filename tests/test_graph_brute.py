@@ -114,3 +114,13 @@ def test_the_hash_wraps_at_64_bits(spark):
     texts = ["", "a", "some/long/path/to/a/file.go", "é" * 40, "x" * 500, "pkg/日本/テスト.go"]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").orderBy("k").select(predicates.short_hash("t")).collect()]
     assert got == [plain(t) for t in texts]
+
+
+def test_what_leads_to_a_cycle_does_not_keep_it_open(spark, monkeypatch):
+    """Before, the least id of all reached the ring, so that it was searched twice, and links were shuffled for every mark again."""
+    monkeypatch.setattr(graph, "SMALL", 0)
+    spread, turns = graph._spread, []
+    monkeypatch.setattr(graph, "_spread", lambda *a: turns.append(a[2]) or spread(*a))
+    links = [("a", "r0"), ("r3", "z"), *((f"r{k}", f"r{(k + 1) % 6}") for k in range(6))]
+    got = {r["id"]: r["component"] for r in graph.cyclic(spark.createDataFrame(links, "source string, target string")).collect()}
+    assert got == {f"r{k}": "r0" for k in range(6)} and turns == ["down-0", "up-0"]
