@@ -106,7 +106,7 @@ def update(spark: SparkSession, root: str, known: Tables, rule: PathFilter | Non
     if actions.isEmpty():
         return known
     gone = actions.where("action = 'delete'").select("path")
-    return build(now.join(actions.where("action != 'delete'"), "path", "left_semi"), None, without(known, gone))
+    return build(now.join(actions.where("action != 'delete'").hint("merge"), "path", "left_semi"), None, without(known, gone))
 
 
 def _fs(spark: SparkSession, folder: str):

@@ -71,6 +71,20 @@ def test_owners_of_equal_methods_are_compared_once(spark):
     assert {tuple(r) for r in joins.implements(nodes, members, same_language=True).collect()} == {("s1", "i1"), ("s1", "i2"), ("s2", "i2")}
 
 
+def test_classes_of_methods_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """Before, Spark took the classes to be as small as their file and broadcast a row with all methods for each method of each."""
+    plans, write = [], session.Stages.write
+    monkeypatch.setattr(session.Stages, "write", lambda self, df, name: (plans.append(plan(df)), write(self, df, name))[1])
+    nodes = spark.createDataFrame([("m1", "method", "Get", "go"), ("m2", "method", "Put", "go"), ("s", "struct", "S", "go"), ("t", "struct", "T", "go"), ("i", "interface", "I", "go")], "id string, kind string, name string, language string")
+    owners = [("s", "m1"), ("s", "m2"), ("t", "m2"), ("i", "m1")]
+    members = spark.createDataFrame(owners, "source string, target string")
+    assert [tuple(r) for r in joins.implements(nodes, members).collect()] == [("s", "i")]
+    groups = members.select(F.col("target").alias("group"), "target").distinct()
+    assert [tuple(r) for r in joins.implements(nodes, members.selectExpr("source", "target as group"), groups=groups).collect()] == [("s", "i")]
+    gathered = [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x and ("Inner" in x or "Semi" in x)]
+    assert plans and not any(c in x for x in gathered for c in ("[language", "[source", "method#"))
+
+
 def test_pairs_of_one_name_are_many_tasks(spark, monkeypatch):
     """Before, one task made all pairs of a name: few bytes on both sides."""
     monkeypatch.setattr(joins, "BLOCK", 100)
